@@ -46,8 +46,8 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
 
 
 def sized(df: DataFrame, nbytes: int | None) -> DataFrame:
-    """Mark df for broadcasting if its counted size is within BROADCAST_BYTES; otherwise leave the join to shuffle."""
-    return F.broadcast(df) if (nbytes or 0) <= BROADCAST_BYTES else df
+    """Mark df for broadcasting if its size is counted and within BROADCAST_BYTES; otherwise leave the join to Spark."""
+    return F.broadcast(df) if nbytes is not None and nbytes <= BROADCAST_BYTES else df
 
 
 def text_or_empty(col: str | Column = "text") -> Column:

@@ -7,8 +7,9 @@ texts: its rows are equal. Only larger, unfinished groups go on. No digest decid
 the rows that stay together have been compared.
 
 The counts of a round are map-side combined, so a group holding a third of all rows costs one row
-per task in the shuffle. Rows find their new group by a join with the groups of two rows or more: a
-broadcast while their counted size is small, else a shuffled join whose hot keys adaptive execution splits.
+per task in the shuffle. Rows find their new group by a join with the groups of two rows or more. In the first
+round, where all texts take part, that is a broadcast while the groups' counted size is small; otherwise it is a
+shuffled join, whose hot keys adaptive execution splits. Later rounds only see rows that share their first bytes.
 The rows that go on are written to the shared folder, so that a lost executor costs one round.
 """
 
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from weftmat.llm.common import materialize, sized
 
 #: Bytes compared in the first rounds; the last entry is multiplied by GROW from then on.
-WIDTHS = (24, 488, 7680)
+WIDTHS = (96, 928, 7168)
 GROW = 16
 
 
@@ -52,6 +53,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             results.append(rows.select("__row", F.col("__id").alias("__keep_id"), F.lit(1).cast("bigint").alias("__group_size"), F.lit(True).alias("__kept")))
             break
         on = ["__gid", "__digit"]
+        nbytes = nbytes if level == 0 else None
         single = dealt.select("__row", "__id", *on).join(sized(groups.select(*on), nbytes), on, "left_anti")
         results.append(single.select("__row", F.col("__id").alias("__keep_id"), F.lit(1).cast("bigint").alias("__group_size"), F.lit(True).alias("__kept")))
         joined = dealt.join(sized(groups, nbytes), on)
