@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftmat.llm import exact_dedup, licenses, quality_rules, secrets
+from weftmat.llm import exact_dedup, licenses, near_dedup, packing, quality_rules, secrets, token_counts
 from weftmat.llm.common import table
 
 
@@ -15,6 +15,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secrets": docs(secrets.secret_report),
         "op4_exact_dedup": docs(exact_dedup.dedup_report),
+        "op5_packing": docs(packing.pack),
+        "op6_near_dedup": docs(near_dedup.near_report),
+        "op7_token_counts": docs(token_counts.token_report),
         "op8_quality_rules": docs(quality_rules.quality_report),
         "op10_licenses": docs(licenses.license_report),
     }
