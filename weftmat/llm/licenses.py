@@ -25,7 +25,7 @@ SENTENCES = {
     "licensed under the apache license version 2 0": "apache-2-notice",
     "licensed under the apache license version 2 0 the license": "apache-2-header",
     "you may not use this file except in compliance with the license": "apache-2-comply",
-    "you may obtain a copy of the license at http www apache org licenses license 2 0": "apache-2-copy",
+    "you may obtain a copy of the license at": "apache-2-copy",
     "this work is licensed under the gnu general public license version 3": "gpl-3-notice",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "gpl-3-grant",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "gpl-2-grant",
@@ -42,7 +42,7 @@ SENTENCES = {
     "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "bsd-binary",
     "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-endorse",
     "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
-    "this source code form is subject to the terms of the mozilla public license v 2 0": "mpl-2-notice",
+    "this source code form is subject to the terms of the mozilla public license v": "mpl-notice",
     "this is free and unencumbered software released into the public domain": "unlicense-grant",
     "all rights reserved": "all-rights-reserved",
 }
@@ -59,15 +59,15 @@ RULES = (
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
     ("ISC", ("isc-grant",)),
-    ("MPL-2.0", ("mpl-2-notice",)),
+    ("MPL", ("mpl-notice",)),
     ("Unlicense", ("unlicense-grant",)),
     ("CC-BY-NC-4.0", ("cc-by-nc-4-notice",)),
     ("CC-BY-SA-4.0", ("cc-by-sa-4-notice",)),
     ("CC-BY-4.0", ("cc-by-4-notice",)),
     ("LicenseRef-all-rights-reserved", ("all-rights-reserved",)),
 )
-#: A sentence ends at . ! ? before white space or the end; "2.0" and "v. 2" style numbers stay whole as no sentence of ours has them.
-ENDS = {"wrapped": r"[.!?]+(?:\s+|$)", "lines": r"[.!?]*(?:\n|$)|[.!?]+\s+"}
+#: A sentence ends at . ! ? : ; before white space or the end, so "2.0" stays whole, and at an empty line, comment marks aside.
+ENDS = {"wrapped": r"[.!?:;]+(?:\s+|$)|\n[\s*#/]*\n", "lines": r"[.!?:;]*(?:\n|$)|[.!?:;]+\s+"}
 
 
 def _ids(end: str) -> str:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 from weftmat.llm import chat, exact_dedup, licenses, near_dedup, packing, quality_model, quality_rules, secrets, sentence_pieces, token_counts
 from weftmat.llm.common import table
+from weftmat.llm.sql import ORACLE
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -31,10 +32,3 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)
 
-
-ORACLE: dict[str, str] = {
-    "op4_exact_dedup": """
-        SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
-               sha256(coalesce(text, '')) AS text_sha256
-        FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
-}
