@@ -8,11 +8,13 @@ polynomial hash taken from prefix sums.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
 import regex
+from tokenizers import pre_tokenizers
 
 END, LETTER, NUMBER, OTHER, SPACE, SPECIAL = 0, 1, 2, 3, 4, 5
 #: Code points beyond Unicode that stand for the end of a text and for a special token.
@@ -31,6 +33,13 @@ def classes() -> np.ndarray:
     for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+")):
         for m in regex.finditer(pattern, every):
             t[m.start() : m.end()] = kind
+    # Characters that the Unicode versions of Python and regex class differently are asked of the tokenizers library.
+    kinds = {"L": LETTER, "N": NUMBER}
+    own = np.fromiter((kinds.get(unicodedata.category(c)[0], OTHER) for c in every), np.uint8, 0x110000)
+    split = pre_tokenizers.ByteLevel(add_prefix_space=False).pre_tokenize_str
+    for c in np.flatnonzero(own != t).tolist():
+        ends = [e for _, (_, e) in split(f"a{chr(c)}1")]
+        t[c] = LETTER if ends == [2, 3] else NUMBER if ends == [1, 3] else OTHER
     t[WHITE] = SPACE
     return np.append(t, np.array([END, SPECIAL], np.uint8))
 
