@@ -1,13 +1,14 @@
-"""Shared helpers: scratch tables in the folder all executors see, size-checked broadcasts."""
+"""Shared helpers: tables, size-checked broadcasts, words. Tables between rounds come from weftmat.plans.scratch."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftmat.plans.scratch import materialize
+
+__all__ = ["materialize", "sized", "table", "text_or_empty", "word_array"]
+
 #: Largest table, in bytes as counted before planning, that is sent to every executor.
 BROADCAST_BYTES = 16 << 20
 
@@ -20,31 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A fresh folder below spark.checkpoint.dir; a temporary one only for a local master without that setting."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master:
-            root = tempfile.gettempdir()
-        else:
-            root = spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root}/weftmat-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage and survives lost executors.
-
-    The folder is deleted when the application ends.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}"
-    df.write.options(compression="zstd", **options).parquet(path)
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path).getParent()
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def sized(df: DataFrame, nbytes: int | None) -> DataFrame:
     """Mark df for broadcasting if its size is counted and within BROADCAST_BYTES; otherwise leave the join to Spark."""
     return F.broadcast(df) if nbytes is not None and nbytes <= BROADCAST_BYTES else df
