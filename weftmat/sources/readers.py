@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 DTYPES = {"f64": ("<f8", "double"), "f32": ("<f4", "float"), "i32": ("<i4", "int"), "u32": ("<u4", "bigint"), "u8": ("u1", "int"), "c128": ("<f8", "double")}
-#: Bytes of a binary file that one task decodes.
-CHUNK_BYTES = 32 << 20
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -53,23 +51,17 @@ def complex_csv(spark: SparkSession, path: str, cols: int) -> DataFrame:
 def dense_binary(spark: SparkSession, path: str, rows: int, cols: int, dtype: str = "f64") -> DataFrame:
     """(i, vals) of a row-major file, whose size must be exact. dtype c128 reads interleaved re, im.
 
-    Tasks map the file in row ranges of about CHUNK_BYTES, read through Spark's file API by the driver's path.
+    The file is split at row boundaries by the fixed-length record format, so its size is not bounded by a task; this
+    is the one reader on an RDD, as no DataFrame source splits such files.
     """
     np_type, sql = DTYPES[dtype]
     per = cols * np.dtype(np_type).itemsize * (2 if dtype == "c128" else 1)
-    raw = spark.read.format("binaryFile").load(path).select("length", "content")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for size, content in zip(pdf["length"], pdf["content"], strict=True):
-                if size != rows * per:
-                    raise ValueError(f"{size} bytes; {rows} x {cols} {dtype} needs {rows * per}")
-                step = max(1, CHUNK_BYTES // per)
-                for at in range(0, rows, step):
-                    x = np.frombuffer(content, np_type, min(step, rows - at) * per // np.dtype(np_type).itemsize, at * per).reshape(min(step, rows - at), -1)
-                    yield pd.DataFrame({"i": np.arange(at, at + len(x)), "vals": list(x)})
-
-    flat = raw.mapInPandas(run, f"i bigint, vals array<{sql}>")
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+    if size != rows * per:
+        raise ValueError(f"{size} bytes; {rows} x {cols} {dtype} needs {rows * per}")
+    records = spark.sparkContext.binaryRecords(path, per).zipWithIndex()
+    flat = spark.createDataFrame(records.map(lambda r: (r[1], np.frombuffer(r[0], np_type).tolist())), f"i bigint, vals array<{sql}>")
     if dtype != "c128":
         return flat
     return flat.select("i", F.transform(F.sequence(F.lit(0), F.lit(cols - 1)), lambda k: F.struct(F.get("vals", 2 * k).alias("re"), F.get("vals", 2 * k + 1).alias("im"))).alias("vals"))
@@ -111,7 +103,7 @@ def edge_list(spark: SparkSession, path: str, header: bool = True, shift: int =
 
 
 def vector(spark: SparkSession, path: str, dtype: str = "f64") -> DataFrame:
-    """(idx, x) of a raw binary vector."""
+    """(idx, x) of a raw binary vector file of less than 2 GB; keep longer ones as tables."""
     np_type, sql = DTYPES[dtype]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
