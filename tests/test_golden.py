@@ -100,6 +100,19 @@ def test_repair_overlaps():
     assert all(a < 8 + k and b < 8 + k for k, (a, b) in enumerate(rules))
 
 
+def test_text_grammar():
+    for t in ("", "a", "abababab", "mississippi" * 3):
+        assert grammar.expand_text(*grammar.repair_text(t)) == t
+
+
+def test_frequent_cover():
+    pairs = [(0, 1, 9), (1, 2, 5), (2, 3, 2)]
+    assert reorder.path_cover_frequent(pairs, 5) == [0, 1, 2, 3, 4]
+    assert reorder.path_cover_frequent([], 3) == [0, 1, 2]
+    # the median pair (0, 2) comes first, then (0, 1); (1, 2) would close a circle
+    assert reorder.path_cover_frequent([(0, 1, 9), (0, 2, 5), (1, 2, 2)], 3) == [1, 0, 2]
+
+
 GRAPH = [(0, 1), (0, 2), (1, 2), (2, 0), (3, 2)]
 
 

@@ -95,6 +95,21 @@ def repair(rows: list[list[int]], first_nt: int) -> tuple[list[tuple[int, int]],
     return rules, out
 
 
+def repair_text(text: str) -> tuple[str, list[tuple[int, int]], list[int]]:
+    """Alphabet, rules and symbols of a text as one row: character k of the sorted alphabet is symbol k + 1."""
+    alphabet = sorted(set(text))
+    rank = {c: k + 1 for k, c in enumerate(alphabet)}
+    rules, rows = repair([[rank[c] for c in text]], len(alphabet) + 1)
+    return "".join(alphabet), rules, rows[0]
+
+
+def expand_text(alphabet: str, rules: list[tuple[int, int]], symbols: list[int]) -> str:
+    words = ["", *alphabet]
+    for a, b in rules:
+        words.append(words[a] + words[b])
+    return "".join(words[s] for s in symbols)
+
+
 def levels(rules: list[tuple[int, int]], first_nt: int) -> list[int]:
     out: list[int] = []
     for pair in rules:

@@ -36,7 +36,18 @@ def prune_global(sim: DataFrame, k: int, cols: int) -> DataFrame:
 
 
 def path_cover(pairs: Iterable[tuple[int, int, float]], cols: int) -> list[int]:
-    """A column order: pairs by ascending weight join paths whose ends they are; paths by their smallest end column."""
+    """A column order: pairs by ascending weight join paths whose ends they are; paths follow by their smallest end column."""
+    return _paths(((a, b) for _, a, b in sorted((w, min(a, b), max(a, b)) for a, b, w in pairs)), cols)
+
+
+def path_cover_frequent(pairs: Iterable[tuple[int, int, int]], cols: int) -> list[int]:
+    """As path_cover, from pair frequencies: pairs in descending frequency are taken from the median outwards."""
+    ranked = sorted((-f, a, b) for a, b, f in pairs if a != b)
+    mid = len(ranked) // 2
+    return _paths(((ranked[k][1], ranked[k][2]) for k in sorted(range(len(ranked)), key=lambda k: (abs(k - mid), k))), cols)
+
+
+def _paths(pairs: Iterable[tuple[int, int]], cols: int) -> list[int]:
     parent, near = list(range(cols)), [[] for _ in range(cols)]
 
     def root(x: int) -> int:
@@ -45,21 +56,15 @@ def path_cover(pairs: Iterable[tuple[int, int, float]], cols: int) -> list[int]:
             x = parent[x]
         return x
 
-    for _, a, b in sorted((w, min(a, b), max(a, b)) for a, b, w in pairs):
+    for a, b in pairs:
         ra, rb = root(a), root(b)
         if ra != rb and len(near[a]) < 2 and len(near[b]) < 2:
             near[a].append(b)
             near[b].append(a)
             parent[max(ra, rb)] = min(ra, rb)
-    return _walk(near, cols)
-
-
-def _walk(near: list[list[int]], cols: int) -> list[int]:
     seen, out = [False] * cols, []
-    for start in sorted(range(cols), key=lambda c: (len(near[c]) == 0, c)):
-        if seen[start] or len(near[start]) > 1:
-            continue
-        at = start
+    for start in range(cols):
+        at = None if seen[start] or len(near[start]) > 1 else start
         while at is not None:
             seen[at] = True
             out.append(at)

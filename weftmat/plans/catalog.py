@@ -386,6 +386,14 @@ def _(spark, d):
     return spark.createDataFrame(list(enumerate(order)), "pos int, col int")
 
 
+@query("path_cover_frequent", None)
+def _(spark, d):
+    c = codes(spark, d)
+    freq = layout.column_pair_freq(layout.allpair_freq(c, layout.topk_codes_per_column(c, 3)), COLS)
+    order = reorder.path_cover_frequent([(r.c1, r.c2, r.freq) for r in freq.collect()], COLS)
+    return spark.createDataFrame(list(enumerate(order)), "pos int, col int")
+
+
 @query("path_cover_contract", None)
 def _(spark, d):
     order = reorder.path_cover_contract([(r.c1, r.c2, r.w) for r in reorder.csm(six(spark, d), 6).collect()], 6)
