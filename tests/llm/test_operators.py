@@ -387,3 +387,62 @@ def test_licenses(spark):
     assert got[0].sentence_ids == "mit-grant,mit-notice-kept,mit-as-is"
     assert [got[i].licenses for i in range(7)] == ["MIT", "MIT", "CC-BY-NC-4.0,LicenseRef-all-rights-reserved", "", "", "", ""]
     assert got[3].sentence_ids == "bsd-grant,bsd-source"
+
+
+def license_rows(spark, texts):
+    got = licenses.license_report(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    return [r for r in sorted(got, key=lambda r: r.doc_id)]
+
+
+def gpl(version, free=":", foundation=","):
+    return f"""This program is free software{free} you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation{foundation} either version {version} of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+
+
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+"""
+BSD2 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD3 = BSD2 + """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+STANDARD = [
+    (gpl(3), "GPL-3.0-or-later"), (gpl(2, ";", ";"), "GPL-2.0-or-later"), (gpl(2, ";"), "GPL-2.0-or-later"), (gpl(3, ",", ";"), "GPL-3.0-or-later"), (gpl(3, ","), "GPL-3.0-or-later"),
+    (APACHE, "Apache-2.0"), ("Licensed under the Apache License, Version 2.0.", "Apache-2.0"), (MIT, "MIT"), ("Released under the MIT License.", "MIT"),
+    ("This work is licensed under the GNU General Public License, version 3.", "GPL-3.0-only"), (BSD3, "BSD-3-Clause,BSD-2-Clause"), (BSD2, "BSD-2-Clause"),
+    ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n", "ISC"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy", "MPL"), ("This is free and unencumbered software released into the public domain.", "Unlicense"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "CC-BY-NC-4.0"), ("Licensed under CC BY-SA 4.0", "CC-BY-SA-4.0"), ("Licensed under CC BY 4.0.", "CC-BY-4.0"),
+    ("All rights reserved.", "LicenseRef-all-rights-reserved"),
+]
+
+
+def test_license_standard_texts(spark):
+    texts = [t for t, _ in STANDARD] + ["".join(f"# {x}\n" for x in gpl(3).splitlines())]
+    got = license_rows(spark, texts)
+    assert [r.licenses for r in got] == [w for _, w in STANDARD] + ["GPL-3.0-or-later"]
+    assert {n for r in got for n in r.licenses.split(",")} == {n for n, _ in licenses.RULES}
+    assert got[0].sentence_ids == "gpl-free,gpl-3-terms,gpl-without-warranty,gpl-without-implied,gpl-details"
+    assert license_rows(spark, [gpl(3).partition("This program is distributed")[0]])[0].licenses == ""

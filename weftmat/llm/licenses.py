@@ -66,15 +66,32 @@ RULES = (
     ("CC-BY-4.0", ("cc-by-4-notice",)),
     ("LicenseRef-all-rights-reserved", ("all-rights-reserved",)),
 )
+_GPL_TERMS = "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"
+_GPL_LATER = "either version {} of the license or at your option any later version"
+#: The GPL notices as ENDS cuts them: "free software: you", "free software; you", "Foundation; either", "WARRANTY; without".
+PIECES = {
+    "this program is free software": "gpl-free",
+    f"this program is free software {_GPL_TERMS}": "gpl-free-terms",
+    _GPL_TERMS: "gpl-terms",
+    **{f"{_GPL_TERMS} {_GPL_LATER.format(v)}": f"gpl-{v}-terms" for v in "32"},
+    **{_GPL_LATER.format(v): f"gpl-{v}-later" for v in "32"},
+    "this program is distributed in the hope that it will be useful but without any warranty": "gpl-without-warranty",
+    "without even the implied warranty of merchantability or fitness for a particular purpose": "gpl-without-implied",
+}
+_GPL_GRANTS = (("gpl-{}-grant",), ("gpl-free", "gpl-{}-terms"), ("gpl-free", "gpl-terms", "gpl-{}-later"), ("gpl-free-terms", "gpl-{}-later"))
+_GPL_WARRANTIES = (("gpl-no-warranty",), ("gpl-without-warranty", "gpl-without-implied"))
+#: What scan() looks up and matches. SENTENCES, RULES and ENDS alone are in the SQL.
+KNOWN = SENTENCES | PIECES
+PIECE_RULES = tuple((f"GPL-{v}.0-or-later", (*(i.format(v) for i in g), *w)) for v in "32" for g in _GPL_GRANTS for w in _GPL_WARRANTIES)
 #: A sentence ends at . ! ? : ; before white space or the end, so "2.0" stays whole, and at an empty line, comment marks aside.
 ENDS = {"wrapped": r"[.!?:;]+(?:\s+|$)|\n[\s*#/]*\n", "lines": r"[.!?:;]*(?:\n|$)|[.!?:;]+\s+"}
 
 
 def _ids(end: str) -> str:
     """SQL: the identifiers of the known sentences of __low, in order."""
-    known = ", ".join(f"'{s}', '{i}'" for s, i in SENTENCES.items())
+    known = ", ".join(f"'{s}', '{i}'" for s, i in KNOWN.items())
     norm = "trim(regexp_replace(s, '[^\\\\p{L}\\\\p{N}]+', ' '))"
-    heads = "|".join(dict.fromkeys(s.split(" ")[0] for s in SENTENCES))
+    heads = "|".join(dict.fromkeys(s.split(" ")[0] for s in KNOWN))
     # The cheap test on the first word leaves few sentences to normalise and look up.
     pick = f"filter(split(__low, r'{end}'), s -> s RLIKE r'^[^\\p{{L}}\\p{{N}}]*(?:{heads})\\b')"
     return f"filter(transform(transform({pick}, s -> {norm}), s -> map({known})[s]), i -> i IS NOT NULL)"
@@ -93,8 +110,10 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
         want = ", ".join(f"'{i}'" for i in rule)
         return f"aggregate(__ids, 0, (k, i) -> CASE WHEN k < {len(rule)} AND i = array({want})[least(k, {len(rule) - 1})] THEN k + 1 ELSE k END) = {len(rule)}"
 
-    hits = ", ".join(f"CASE WHEN {matches(r)} THEN '{name}' END" for name, r in RULES)
-    return df.withColumn("__licenses", F.expr(f"CASE WHEN size(__ids) > 0 THEN array_distinct(array_compact(array({hits}))) ELSE cast(array() AS array<string>) END"))
+    order = list(dict.fromkeys(name for name, _ in RULES))
+    rules = sorted({*RULES, *PIECE_RULES}, key=lambda r: order.index(r[0]))
+    hits = ", ".join(f"CASE WHEN {' OR '.join(matches(r) for n, r in rules if n == name)} THEN '{name}' END" for name in order)
+    return df.withColumn("__licenses", F.expr(f"CASE WHEN size(__ids) > 0 THEN array_compact(array({hits})) ELSE cast(array() AS array<string>) END"))
 
 
 def license_report(docs: DataFrame) -> DataFrame:
