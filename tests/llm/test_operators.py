@@ -446,3 +446,11 @@ def test_license_standard_texts(spark):
     assert {n for r in got for n in r.licenses.split(",")} == {n for n, _ in licenses.RULES}
     assert got[0].sentence_ids == "gpl-free,gpl-3-terms,gpl-without-warranty,gpl-without-implied,gpl-details"
     assert license_rows(spark, [gpl(3).partition("This program is distributed")[0]])[0].licenses == ""
+
+
+def test_license_wrapped_and_lines(spark):
+    notice = "title\nLicensed under CC BY-NC 4.0\nsee file two\n\n"
+    got = license_rows(spark, [notice + BSD2, BSD2 + "\n" + notice + MIT, notice + APACHE + "\n" + notice, "Licensed under the Apache License,\nVersion 2.0\n(the \"License\");", "Licensed under CC BY 4.0\nLicensed under the MIT\nLicense"])
+    assert got[0].sentence_ids == "cc-by-nc-4-notice,bsd-grant,bsd-source,bsd-binary" and got[0].n_known == 4
+    assert [r.licenses for r in got] == ["BSD-2-Clause,CC-BY-NC-4.0", "MIT,BSD-2-Clause,CC-BY-NC-4.0", "Apache-2.0,CC-BY-NC-4.0", "Apache-2.0", "CC-BY-4.0"]
+    assert got[2].sentence_ids == "cc-by-nc-4-notice,apache-2-header,apache-2-comply,apache-2-copy,cc-by-nc-4-notice"

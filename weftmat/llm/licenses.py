@@ -3,8 +3,8 @@
 Texts are cut into sentences, normalised (lower case, runs of other characters than letters and digits become one space)
 and mapped to identifiers of known licence sentences. A licence rule is an ordered sequence of identifiers; it
 matches where they occur in that order in a text's identifier sequence, other sentences between them being
-allowed. Sentences are looked up twice: with line ends as spaces (wrapped licence texts) and with line ends as
-sentence ends (one-line notices); the longer identifier sequence counts, the first one on ties.
+allowed. Sentences are looked up with line ends as spaces (wrapped licence texts); where that finds nothing, the
+sentence's lines are looked up one by one (one-line notices). So both kinds count in one text, in their order.
 """
 
 from __future__ import annotations
@@ -87,14 +87,17 @@ PIECE_RULES = tuple((f"GPL-{v}.0-or-later", (*(i.format(v) for i in g), *w)) for
 ENDS = {"wrapped": r"[.!?:;]+(?:\s+|$)|\n[\s*#/]*\n", "lines": r"[.!?:;]*(?:\n|$)|[.!?:;]+\s+"}
 
 
-def _ids(end: str) -> str:
+def _ids() -> str:
     """SQL: the identifiers of the known sentences of __low, in order."""
     known = ", ".join(f"'{s}', '{i}'" for s, i in KNOWN.items())
-    norm = "trim(regexp_replace(s, '[^\\\\p{L}\\\\p{N}]+', ' '))"
+    look = lambda s: f"map({known})[trim(regexp_replace({s}, '[^\\\\p{{L}}\\\\p{{N}}]+', ' '))]"
     heads = "|".join(dict.fromkeys(s.split(" ")[0] for s in KNOWN))
     # The cheap test on the first word leaves few sentences to normalise and look up.
-    pick = f"filter(split(__low, r'{end}'), s -> s RLIKE r'^[^\\p{{L}}\\p{{N}}]*(?:{heads})\\b')"
-    return f"filter(transform(transform({pick}, s -> {norm}), s -> map({known})[s]), i -> i IS NOT NULL)"
+    head = rf"[^\p{{L}}\p{{N}}]*(?:{heads})\b"
+    pick = f"filter(split(__low, r'{ENDS['wrapped']}'), s -> s RLIKE r'(?:^|\\n){head}')"
+    lines = f"filter(transform(filter(split(s, '\\n'), x -> x RLIKE r'^{head}'), x -> {look('x')}), i -> i IS NOT NULL)"
+    # All ends of "wrapped" are ends of "lines"; within a wrapped sentence the only further ones are line ends.
+    return f"flatten(transform({pick}, s -> transform(array({look('s')}), i -> CASE WHEN i IS NOT NULL THEN array(i) ELSE {lines} END)[0]))"
 
 
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -103,8 +106,7 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     Null text is empty: no sentences, no licences. All columns pass through.
     """
     df = docs.withColumn("__low", F.lower(text_or_empty(text_col)))
-    df = df.withColumns({"__a": F.expr(_ids(ENDS["wrapped"])), "__b": F.expr(_ids(ENDS["lines"]))}).drop("__low")
-    df = df.withColumn("__ids", F.expr("CASE WHEN size(__b) > size(__a) THEN __b ELSE __a END")).drop("__a", "__b")
+    df = df.withColumn("__ids", F.expr(_ids())).drop("__low")
 
     def matches(rule: tuple[str, ...]) -> str:
         want = ", ".join(f"'{i}'" for i in rule)
