@@ -454,3 +454,10 @@ def test_license_wrapped_and_lines(spark):
     assert got[0].sentence_ids == "cc-by-nc-4-notice,bsd-grant,bsd-source,bsd-binary" and got[0].n_known == 4
     assert [r.licenses for r in got] == ["BSD-2-Clause,CC-BY-NC-4.0", "MIT,BSD-2-Clause,CC-BY-NC-4.0", "Apache-2.0,CC-BY-NC-4.0", "Apache-2.0", "CC-BY-4.0"]
     assert got[2].sentence_ids == "cc-by-nc-4-notice,apache-2-header,apache-2-comply,apache-2-copy,cc-by-nc-4-notice"
+
+
+def test_plan_few_lengths():
+    count = np.zeros(packing.CAPACITY, np.int64)
+    count[[999, 599, 419]] = 1200
+    plan = packing.plan(count)
+    assert (sum(c * n for c, n in plan) == count).all() and sum(n for _, n in plan) == 1200

@@ -179,7 +179,22 @@ def fractional(count: np.ndarray, capacity: int, steps: int) -> list[tuple[np.nd
 
 
 def plan(count: np.ndarray, capacity: int = CAPACITY, steps: int = STEPS, rounds: int = ROUNDS) -> list[tuple[np.ndarray, int]]:
-    """(configuration, whole number of sequences) that use every length exactly as often as count says."""
+    """(configuration, whole number of sequences) that use every length exactly as often as count says.
+
+    Of the plans by configurations that waste one token at most, by all configurations and by best-fit alone, the one with the
+    fewest sequences; the first that reaches the lower bound ends the search.
+    """
+    bound = -(-int((count.astype(np.int64) * np.arange(1, len(count) + 1)).sum()) // capacity)
+    size = lambda p: sum(n for _, n in p)
+    best = _rounded(count, capacity, steps, rounds, capacity - 1)
+    for least, r in ((0, rounds), (0, 0)):
+        if size(best) > bound:
+            best = min(best, _rounded(count, capacity, steps, r, least), key=size)
+    return best
+
+
+def _rounded(count: np.ndarray, capacity: int, steps: int, rounds: int, least: int) -> list[tuple[np.ndarray, int]]:
+    """The program's configurations of at least so many tokens, rounded, and best-fit for the rest."""
     left, out = count.astype(np.int64).copy(), []
     full = np.zeros(len(count), np.int64)
     full[capacity - 1] = 1
@@ -192,8 +207,7 @@ def plan(count: np.ndarray, capacity: int = CAPACITY, steps: int = STEPS, rounds
         for config, x in sorted(fractional(left, capacity, steps), key=lambda y: (-y[1], y[0].tobytes())):
             used = config > 0
             whole = min(int(x + 0.5), int((left[used] // config[used]).min()))
-            # a configuration that wastes space would cost more than best-fit does
-            if whole and (config * np.arange(1, len(count) + 1)).sum() >= capacity - 1:
+            if whole and (config * np.arange(1, len(count) + 1)).sum() >= least:
                 out.append((config, whole))
                 left -= config * whole
     out += _best_fit(left, capacity)
