@@ -4,8 +4,8 @@ A text is cut at the matches of a pattern with one \\G-anchored pass; lengths of
 code points. Candidates for the entropy scan are maximal runs of secret-like characters. For each character
 class a window slides over the run; counts are updated by the character that enters and the one
 that leaves, and with them the sum of c*log2(c), so each step costs the same whatever the window. Windows above the
-class's threshold are merged into one span per class and run, unless the run is on the allow-list or
-overlaps a fixed pattern's span.
+class's threshold are merged into one span per class and run, unless the run is on the allow-list. Where fixed
+patterns' spans lie in a run, the parts between them are runs of their own.
 """
 
 from __future__ import annotations
@@ -89,7 +89,10 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     keep = f"length(regexp_extract({{m}}, {_sql(ASSIGN)}, 1)) >= 8"
     base = f"concat({_spans('__p0', ASSIGN, 0, keep)}, {_spans('__p1', ACCESS, 1)}, {_spans('__p2', HEX, 2)})"
     allowed = " OR ".join(f"substr(__text, cast(r.start + 1 AS int), cast(r.end - r.start AS int)) RLIKE {_sql(p)}" for p in ALLOW)
-    runs = f"filter({_spans('__p3', CANDIDATE, 3)}, r -> NOT exists(__base, b -> b.start < r.end AND b.end > r.start) AND NOT ({allowed}))"
+    part = lambda to: f"CASE WHEN {to} - a.at >= {WINDOW} THEN concat(a.out, array(named_struct('start', a.at, 'kind', 3, 'end', {to}))) ELSE a.out END"
+    rest = f"""aggregate(array_sort(filter(__base, b -> b.start < r.end AND b.end > r.start)), named_struct('at', r.start, 'out', cast(array() AS array<struct<start:bigint,kind:int,end:bigint>>)),
+        (a, b) -> named_struct('at', greatest(a.at, b.end), 'out', {part('b.start')}), a -> {part('r.end')})"""
+    runs = f"filter(flatten(transform({_spans('__p3', CANDIDATE, 3)}, r -> {rest})), r -> NOT ({allowed}))"
     df = df.withColumn("__base", F.expr(base)).withColumn("__runs", F.expr(f"CASE WHEN size(__p3) > 0 THEN {runs} ELSE cast(array() AS array<struct<start:bigint,kind:int,end:bigint>>) END"))
     each = ", ".join(_entropy(*c) for c in CLASSES.values())
     flagged = f"""filter(flatten(transform(__runs, r -> transform(array(substr(__text, cast(r.start + 1 AS int), cast(r.end - r.start AS int))), s ->
