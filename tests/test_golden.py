@@ -157,3 +157,12 @@ def test_number_rows_in_ranges(spark, monkeypatch):
     monkeypatch.setattr(encode, "ROWS_A_BUCKET", 7)
     df = spark.range(100).select((F.col("id") * 37 % 100).alias("k"), F.lit(0).alias("z"))
     assert all(r.k == r.n for r in encode.number_rows(df, ["k", "z"], "n").collect())
+
+
+def test_number_rows_keeps_null_lead(spark, monkeypatch):
+    from weftmat.operators import encode
+
+    df = spark.createDataFrame([(None, 2), (None, 1), (5, 1), (1, 1), (9, 1), (3, 1)], "a int, b int")
+    want = sorted(encode.number_rows(df, ["a", "b"], "n").collect(), key=lambda r: r.n)
+    monkeypatch.setattr(encode, "ROWS_A_BUCKET", 2)
+    assert sorted(encode.number_rows(df, ["a", "b"], "n").collect(), key=lambda r: r.n) == want and len(want) == 6

@@ -21,7 +21,7 @@ def number_rows(df: DataFrame, order: list[str], name: str) -> DataFrame:
     ranges = min(65536, n // ROWS_A_BUCKET + 1)
     if ranges == 1:
         return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("bigint") - 1)
-    df = df.withColumn("__range", F.floor((lead - F.lit(lo)) * ranges / (F.lit(hi) - F.lit(lo) + 1)).cast("int"))
+    df = df.withColumn("__range", F.coalesce(F.floor((lead - F.lit(lo)) * ranges / (F.lit(hi) - F.lit(lo) + 1)).cast("int"), F.lit(-1)))  # nulls come first
     before = df.groupBy("__range").count().withColumn("__before", F.coalesce(F.sum("count").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
     at = F.row_number().over(Window.partitionBy("__range").orderBy(*order)).cast("bigint") - 1
     return df.withColumn(name, at).join(F.broadcast(before), "__range").withColumn(name, F.col(name) + F.col("__before")).drop("__range", "__before")
