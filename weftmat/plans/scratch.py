@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of a file of a table whose size is known to be small.
+ROWS_A_FILE = 50_000
+
 
 def scratch_dir(spark: SparkSession) -> str:
     """A fresh folder below spark.checkpoint.dir; a temporary one only for a local master without that setting."""
@@ -18,10 +21,15 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{root}/weftmat-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write df and read it back: cuts lineage and survives lost executors. The folder goes when the application ends."""
+def materialize(df: DataFrame, name: str, rows: int | None = None, **options: str) -> DataFrame:
+    """Write df and read it back: cuts lineage and survives lost executors. The folder goes when the application ends.
+
+    rows, if given, is a counted bound of its rows: small tables are then written as few files, large ones as df is dealt.
+    """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}"
+    if rows is not None:
+        df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, -(-rows // ROWS_A_FILE)))
     df.write.options(compression="zstd", **options).parquet(path)
     p = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
     p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
