@@ -141,12 +141,51 @@ def test_quality_model_without_labels(spark, docs):
 
 def test_sentence_pieces_match_the_library():
     c = sentence_pieces.codec(sentence_pieces.default_path())
-    texts = [t for t in TEXTS if t and len(t) < 1000] + ["\u2581a \u2581\u2581b", "中文 😀 ÿ", "  two  blanks  ", "<s> </s> <unk> <0x41>"]
+    texts = [t for t in TEXTS if not t or len(t) < 1000] + ["\u2581a \u2581\u2581b", "a\u2581", "\u2581", "中文 😀 ÿ", "  two  blanks  ", "hello world ", "a ", "a\t\tb ", "<s> </s> <unk> <0x41>", "ab" * 5000]
     for t, (ids, same, back) in zip(texts, c.encode(texts), strict=True):
         ids = np.frombuffer(ids, "<u4").tolist()
-        assert ids == c.lib.encode(t)
-        assert same and back
+        assert ids == c.lib.encode(t or "")
+        assert same and back == (c.decode([ids])[0] == (t or ""))
         assert c.decode([ids])[0] == c.lib.decode(ids)
+    assert back_of("a\u2581") is False and back_of("a b ") is True
+
+
+def back_of(text):
+    return sentence_pieces.codec(sentence_pieces.default_path()).encode([text])[0][2]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(st.sampled_from(list(" \t\nab\u2581é中😀\0.")), max_size=12), max_size=6))
+def test_sentence_pieces_are_the_librarys_on_whole_texts(texts):
+    c = sentence_pieces.codec(sentence_pieces.default_path())
+    for t, (ids, same, back) in zip(texts, c.encode(texts), strict=True):
+        ids = np.frombuffer(ids, "<u4").tolist()
+        assert ids == c.lib.encode(t) and same and back == (c.decode([ids])[0] == t)
+
+
+# Words that a polynomial hash modulo 2**64 cannot tell apart: Thue-Morse sequences and their complements.
+def thue_morse(a, b, k):
+    return "".join(b if i.bit_count() % 2 else a for i in range(k))
+
+
+CLASHES = [thue_morse(*p, k) for k in (1024, 2048) for p in ("ab", "ba", "xq", "qx")]
+
+
+def test_words_of_equal_hash_are_told_apart(spark, monkeypatch):
+    tok = packing._encoder(packing.default_path()).tok
+    want = [tok.encode(t, add_special_tokens=False).ids for t in CLASHES]
+    df = spark.createDataFrame(list(enumerate(CLASHES)), "doc_id bigint, text string")
+    assert {r.doc_id: r.n_tokens for r in token_counts.token_report(df).collect()} == {k: len(w) for k, w in enumerate(want)}
+    assert {r.doc_id: np.frombuffer(bytes(r.ids), "<u4").tolist() for r in packing.pack(df, with_ids=True).collect()} == {k: w + [0] for k, w in enumerate(want)}
+    check_near(spark, list(enumerate(CLASHES)) + [(90, CLASHES[0].upper()), (91, " ".join(["a"] * 9 + CLASHES[:1])), (92, " ".join(["a"] * 9 + CLASHES[1:2]))])
+    # even if all hashes are equal
+    monkeypatch.setattr(pretokens, "hashes", lambda cp, begin, end: np.full(len(begin), 5, np.uint64))
+    cache = pretokens.Cache(lambda words: np.array([len(w) for w in words]))
+    cp, _ = pretokens.lay(["one two", "three two one"], None)
+    begin, end = np.array([0, 3, 8, 13, 17]), np.array([3, 7, 13, 17, 21])
+    for _ in range(2):
+        assert cache.get(cp, begin, end).tolist() == [3, 4, 5, 4, 4]
+    assert len(set(pretokens.exact_ids(cp, begin, end).tolist())) == 4
 
 
 def test_sentence_piece_round_trip(spark):

@@ -18,11 +18,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftmat.llm.common import materialize, sized
+from weftmat.llm.common import ROWS_A_FILE, materialize, sized
 
 #: Bytes compared in the first rounds; the last entry is multiplied by GROW from then on.
 WIDTHS = (96, 928, 7168)
 GROW = 16
+#: Bytes of text in a file of rows that go on, where fewer files than tasks do.
+FILE_BYTES = 16 << 20
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", payload: list[str] | None = None) -> DataFrame:
@@ -33,51 +35,38 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named __keep_id, __group_size, __kept, so they cannot clash with columns of the input.
     """
     payload = list(docs.columns) if payload is None else payload
+    # A payload with the text is the only copy of it that travels; else the bytes still to compare travel alone.
+    within = text_col in payload
     body = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    rows = docs.select(F.struct(*payload).alias("__row"), F.col(id_col).alias("__id"), F.lit(0).cast("bigint").alias("__gid"), body.alias("__rest"))
-    results, level, width = [], 0, 0
+    rows = docs.select(F.struct(*payload).alias("__row"), F.col(id_col).alias("__id"), F.lit(0).cast("bigint").alias("__gid"), *([] if within else [body.alias("__rest")]))
+    rest = F.coalesce(F.col("__row").getField(text_col), F.lit("")).cast("binary") if within else F.col("__rest")
+    alone = lambda df: df.select("__row", F.col("__id").alias("__keep_id"), F.lit(1).cast("bigint").alias("__group_size"), F.lit(True).alias("__kept"))
+    on, results, level, width, past, total = ["__gid", "__digit"], [], 0, 0, 0, None
     while True:
         width = WIDTHS[level] if level < len(WIDTHS) else width * GROW
-        digit = F.substring(F.col("__rest"), 1, width)
-        dealt = rows.withColumn("__digit", digit)
+        dealt = rows.withColumn("__digit", F.substring(rest, past + 1, width))
         best = F.max(F.struct(F.col("__id"), F.col("__rid"))) if level else F.lit(None)
-        groups = (
-            dealt.groupBy("__gid", "__digit")
-            .agg(F.count(F.lit(1)).alias("__n"), best.alias("__best"))
-            .filter(F.col("__n") >= 2)
-            .withColumn("__next", F.monotonically_increasing_id())
-        )
-        groups = materialize(groups.select(F.col("__gid"), F.col("__digit"), "__n", "__best", "__next") if level else groups.drop("__best"), f"groups{level}")
-        n, nbytes = groups.agg(F.count(F.lit(1)), F.sum(F.length("__digit") + 64)).first()
+        groups = dealt.groupBy(*on).agg(F.count(F.lit(1)).alias("__n"), F.sum(F.length(rest)).alias("__size"), best.alias("__best")).filter(F.col("__n") >= 2)
+        groups = groups.withColumn("__next", F.monotonically_increasing_id())
+        groups = materialize(groups if level else groups.drop("__best"), f"groups{level}", rows=total)
+        n, nbytes, total, volume = groups.agg(F.count(F.lit(1)), F.sum(F.length("__digit") + 64), F.sum("__n"), F.sum("__size")).first()
         if not n:
-            results.append(rows.select("__row", F.col("__id").alias("__keep_id"), F.lit(1).cast("bigint").alias("__group_size"), F.lit(True).alias("__kept")))
+            results.append(alone(rows))
             break
-        on = ["__gid", "__digit"]
         nbytes = nbytes if level == 0 else None
-        single = dealt.select("__row", "__id", *on).join(sized(groups.select(*on), nbytes), on, "left_anti")
-        results.append(single.select("__row", F.col("__id").alias("__keep_id"), F.lit(1).cast("bigint").alias("__group_size"), F.lit(True).alias("__kept")))
+        results.append(alone(dealt.join(sized(groups.select(*on), nbytes), on, "left_anti")))
         joined = dealt.join(sized(groups, nbytes), on)
         ended = F.length("__digit") < width
         if level:
-            closed = joined.filter(ended).select(
-                "__row",
-                F.col("__best.__id").alias("__keep_id"),
-                F.col("__n").alias("__group_size"),
-                (F.col("__id").eqNullSafe(F.col("__best.__id")) & (F.col("__rid") == F.col("__best.__rid"))).alias("__kept"),
-            )
-            results.append(closed)
+            keeps = F.col("__id").eqNullSafe(F.col("__best.__id")) & (F.col("__rid") == F.col("__best.__rid"))
+            results.append(joined.filter(ended).select("__row", F.col("__best.__id").alias("__keep_id"), F.col("__n").alias("__group_size"), keeps.alias("__kept")))
             joined = joined.filter(~ended)
         # After the first round even ended groups go on: their rows need a row number that stays.
-        rows = materialize(
-            joined.select(
-                "__row",
-                "__id",
-                (F.col("__rid") if level else F.monotonically_increasing_id()).alias("__rid"),
-                F.col("__next").alias("__gid"),
-                F.expr(f"substring(__rest, {width + 1})").alias("__rest"),
-            ),
-            f"rows{level}",
-        )
+        rid = (F.col("__rid") if level else F.monotonically_increasing_id()).alias("__rid")
+        cut = [] if within else [F.expr(f"substring(__rest, {width + 1})").alias("__rest")]
+        bound = max(total, volume * ROWS_A_FILE // FILE_BYTES)
+        rows = materialize(joined.select("__row", "__id", rid, F.col("__next").alias("__gid"), *cut), f"rows{level}", rows=bound)
+        past += width if within else 0
         level += 1
         if level > 1 and rows.isEmpty():
             break

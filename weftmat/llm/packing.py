@@ -40,9 +40,6 @@ class Encoder:
     """Token ids of whole texts: pre-tokens by the tokenizers library, each distinct one once while the cache lasts."""
 
     def __init__(self, path: str):
-        import os
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -55,21 +52,24 @@ class Encoder:
 
     def reset(self) -> None:
         self.cache.clear()
+        # word k has ids pool[at[k]:at[k] + size[k]]; word 0 is the special token
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 1
+        self.at, self.size = np.zeros(1, np.int64), np.ones(1, np.int64)
         if self.special_id is not None:
             self.pool[0] = self.special_id
 
     def resolve(self, words: list[str]) -> np.ndarray:
-        """offset << 24 | number of ids, of each word's ids in the pool; longer words are rare and fit 2**24 ids."""
         enc = self.tok.encode(words, is_pretokenized=True, add_special_tokens=False)
         ids = np.array(enc.ids, np.uint32)
         n = np.bincount(np.array(enc.word_ids, np.int64), minlength=len(words))
         while len(self.pool) < self.used + len(ids):
             self.pool = np.append(self.pool, np.zeros(len(self.pool), np.uint32))
         self.pool[self.used : self.used + len(ids)] = ids
-        off = self.used + np.append(0, np.cumsum(n)[:-1])
+        first = len(self.at)
+        self.at = np.append(self.at, self.used + np.cumsum(n) - n)
+        self.size = np.append(self.size, n)
         self.used += len(ids)
-        return off << 24 | n
+        return np.arange(first, len(self.at))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, and the number of each text's."""
@@ -77,10 +77,10 @@ class Encoder:
             self.reset()
         cp, starts = lay(texts, self.special)
         begin, end, special = boundaries(cp)
-        place = np.full(len(begin), 1, np.int64)  # offset 0, one id: the special token
+        word = np.zeros(len(begin), np.int64)
         plain = np.flatnonzero(~special)
-        place[plain] = self.cache.get(cp, begin[plain], end[plain])
-        off, n = place >> 24, place & 0xFFFFFF
+        word[plain] = self.cache.get(cp, begin[plain], end[plain])
+        off, n = self.at[word], self.size[word]
         total = np.append(0, np.cumsum(n))
         ids = self.pool[np.repeat(off - total[:-1], n) + np.arange(total[-1])]
         edge = total[np.searchsorted(begin, np.append(starts, len(cp)))]

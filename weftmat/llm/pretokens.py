@@ -2,8 +2,8 @@
 
 The split follows the byte-level pattern  's|'t|'re|'ve|'m|'ll|'d| ?L+| ?N+| ?[other]+|white(?!\\S)|white  with L letters and N
 numbers. Texts are laid end to end as code points with a mark between them; every boundary is found by comparing
-neighbouring character classes, so no text is scanned by Python. A pre-token's identity is a 64-bit
-polynomial hash taken from prefix sums.
+neighbouring character classes, so no text is scanned by Python. Pre-tokens are looked up by a 64-bit hash
+taken from prefix sums and then compared character by character, so two of equal hash are never confused.
 """
 
 from __future__ import annotations
@@ -23,7 +23,9 @@ END_CP, SPECIAL_CP = 0x110000, 0x110001
 WHITE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: Characters handled together, and cache slots. Both bound memory, not results.
 SLICE = 1 << 19
-SLOTS_LOG2 = 19
+SLOTS_LOG2 = 20
+#: Characters that a cache holds before it starts anew, and of the longest word it holds.
+POOL_CHARS, LONGEST = 1 << 23, 1024
 
 
 @cache
@@ -98,40 +100,33 @@ def boundaries(cp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return begin, end, cls[begin] == SPECIAL
 
 
-_P = np.uint64(0x9E3779B97F4A7C15 | 1)
-_Q = np.uint64(pow(int(_P), -1, 1 << 64))
-
-
-class _Powers:
-    p = np.ones(1, np.uint64)
-    q = np.ones(1, np.uint64)
-
-    @classmethod
-    def upto(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.p) < n:
-            p, q = np.full(n, _P, np.uint64), np.full(n, _Q, np.uint64)
-            p[0] = q[0] = 1
-            cls.p, cls.q = np.cumprod(p, dtype=np.uint64), np.cumprod(q, dtype=np.uint64)
-        return cls.p, cls.q
-
-
 def hashes(cp: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of cp[begin:end] for ascending, disjoint ranges, in slices of about SLICE characters."""
+    """64-bit hash of cp[begin:end] for ascending, disjoint ranges, in slices of about SLICE characters.
+
+    The sum over the characters of a mix of character and place, which no order of letters can balance as it
+    can in a polynomial. Equal hashes only propose equality; see same().
+    """
     out = np.empty(len(begin), np.uint64)
     k = 0
     while k < len(begin):
         j = max(k + 1, int(np.searchsorted(end, begin[k] + SLICE, "right")))
         lo, hi = int(begin[k]), int(end[j - 1])
-        p, q = _Powers.upto(hi - lo + 1)
-        x = cp[lo:hi].astype(np.uint64)
-        x += np.uint64(0x1F123BB5)
-        x *= np.uint64(0xD6E8FEB86659FD93)
-        x ^= x >> np.uint64(31)
-        x *= p[: hi - lo]
+        b, e = begin[k:j] - lo, end[k:j] - lo
+        place = np.arange(hi - lo)
+        place -= np.repeat(b, np.diff(np.append(b, hi - lo)))
+        x = place.view(np.uint64)
+        x *= np.uint64(0x9E3779B97F4A7C15)
+        y = cp[lo:hi].astype(np.uint64)
+        y += np.uint64(0x1F123BB5)
+        y *= np.uint64(0xD6E8FEB86659FD93)
+        x ^= y
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xFF51AFD7ED558CCD)
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(0xC4CEB9FE1A85EC53)
         s = np.zeros(hi - lo + 1, np.uint64)
         np.cumsum(x, out=s[1:])
-        b, e = begin[k:j] - lo, end[k:j] - lo
-        h = (s[e] - s[b]) * q[b]
+        h = s[e] - s[b]
         h ^= h >> np.uint64(32)
         h *= np.uint64(0xFF51AFD7ED558CCD)
         h ^= h >> np.uint64(29)
@@ -141,8 +136,43 @@ def hashes(cp: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     return out
 
 
+def same(a: np.ndarray, at: np.ndarray, b: np.ndarray, bt: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether a[at:at + n] equals b[bt:bt + n], for each of many ranges of at least one character, in slices of about SLICE."""
+    out, total, k = np.empty(len(n), bool), np.cumsum(n), 0
+    while k < len(n):
+        done = int(total[k - 1]) if k else 0
+        j = max(k + 1, int(np.searchsorted(total, done + SLICE, "right")))
+        size = n[k:j]
+        head = total[k:j] - size - done
+        kind = np.int32 if max(len(a), len(b)) < 1 << 31 else np.int64
+        i = np.arange(int(total[j - 1]) - done, dtype=kind)
+        x = np.repeat((at[k:j] - head).astype(kind), size)
+        x += i
+        y = np.repeat((bt[k:j] - head).astype(kind), size)
+        y += i
+        equal = a.take(x) == b.take(y)
+        out[k:j] = np.logical_and.reduceat(equal, head)
+        k = j
+    return out
+
+
+def exact_ids(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Numbers of the words data[begin:end], equal exactly where all characters are."""
+    out, n, todo, top = np.empty(len(begin), np.int64), end - begin, np.arange(len(begin)), 0
+    h = hashes(data, begin, end)
+    while len(todo):
+        _, first, which = np.unique(h[todo], return_index=True, return_inverse=True)
+        head = todo[first][which]
+        ok = n[todo] == n[head]
+        ok[ok] = same(data, begin[todo[ok]], data, begin[head[ok]], n[todo[ok]])
+        out[todo[ok]] = top + which[ok]
+        top += len(first)
+        todo = todo[~ok]
+    return out
+
+
 class Cache:
-    """From hash to a row number of whatever `resolve` stores; direct-mapped, so a clash only costs work again."""
+    """From a word to a number that `resolve` gives. Direct-mapped by hash; a hit counts only if all characters agree."""
 
     def __init__(self, resolve: Callable[[list[str]], np.ndarray]):
         self.resolve = resolve
@@ -151,21 +181,42 @@ class Cache:
     def clear(self) -> None:
         self.key = np.zeros(1 << SLOTS_LOG2, np.uint64)
         self.val = np.zeros(1 << SLOTS_LOG2, np.int64)
+        self.at, self.size = (np.zeros(1 << SLOTS_LOG2, np.int32) for _ in range(2))
+        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def _keep(self, slot: np.ndarray, h: np.ndarray, val: np.ndarray, cp: np.ndarray, begin: np.ndarray, n: np.ndarray) -> None:
+        short = n <= LONGEST
+        if not short.all():
+            slot, h, val, begin, n = (x[short] for x in (slot, h, val, begin, n))
+        total = int(n.sum())
+        if self.used + total > POOL_CHARS:
+            self.clear()
+        while len(self.pool) < self.used + total:
+            self.pool = np.append(self.pool, np.zeros(len(self.pool), np.uint32))
+        head = np.cumsum(n) - n
+        self.pool[self.used : self.used + total] = cp[np.arange(total) + np.repeat(begin - head, n)]
+        # of two words in one slot the later wins everywhere alike
+        self.key[slot], self.val[slot], self.at[slot], self.size[slot] = h, val, head + self.used, n
+        self.used += total
 
     def get(self, cp: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        h = hashes(cp, begin, end)
+        h, n = hashes(cp, begin, end), end - begin
         slot = (h >> np.uint64(64 - SLOTS_LOG2)).astype(np.int64)
         out = self.val[slot]
-        miss = np.flatnonzero(self.key[slot] != h)
-        if len(miss):
-            new, first, which = np.unique(h[miss], return_index=True, return_inverse=True)
-            at = miss[first]
-            raw, b, e = cp.astype("<u4", copy=False), begin[at].tolist(), end[at].tolist()
-            found = self.resolve([raw[i:j].tobytes().decode("utf-32-le", "surrogatepass") for i, j in zip(b, e, strict=True)])
-            out[miss] = found[which]
-            self.key[slot[at]] = new
-            self.val[slot[at]] = found
-            # of two new keys in one slot the later won the key and the value alike
+        hit = (self.key[slot] == h) & (self.size[slot] == n)
+        hit[hit] = same(cp, begin[hit], self.pool, self.at[slot[hit]].astype(np.int64), n[hit])
+        todo, raw = np.flatnonzero(~hit), None
+        while len(todo):
+            raw = cp.astype("<u4", copy=False) if raw is None else raw
+            new, first, which = np.unique(h[todo], return_index=True, return_inverse=True)
+            at = todo[first]
+            head = at[which]
+            ok = n[todo] == n[head]
+            ok[ok] = same(cp, begin[todo[ok]], cp, begin[head[ok]], n[todo[ok]])
+            found = self.resolve([raw[i:j].tobytes().decode("utf-32-le", "surrogatepass") for i, j in zip(begin[at].tolist(), end[at].tolist(), strict=True)])
+            out[todo[ok]] = found[which[ok]]
+            self._keep(slot[at], new, found, cp, begin[at], n[at])
+            todo = todo[~ok]  # other words of equal hash
         return out
 
 

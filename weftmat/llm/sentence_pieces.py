@@ -3,27 +3,30 @@
 The model file is read field by field: pieces with scores and types, the model type, normaliser flags and character map. From them
 come a normaliser (character map, white space, dummy prefix, metaspace marker), a Unigram model with the
 scores or a BPE model whose merge ranks follow them, byte fallback and the decoder. Texts are cut into
-words at markers where no piece crosses one, distinct words are encoded in one multithreaded batch, decoded
-again, and compared with the sentencepiece library; a difference is reported and the library's ids win.
+words at markers where no piece crosses one; distinct words are encoded and decoded again in multithreaded batches
+and their ids kept in one array. The sentencepiece library then encodes every whole text: a difference is
+reported as parity = false, and the ids returned are always those of the rebuilt tokenizer.
 """
 
 from __future__ import annotations
 
-import re
 import struct
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftmat.llm.pretokens import END_CP, Cache, in_slices, lay
+
 MARK = "\u2581"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Words a worker keeps; more only means to encode some again.
-CACHE_WORDS = 200_000
+#: Ids that a worker's cache holds before it starts anew.
+POOL_IDS = 3_000_000
 
 
 def default_path() -> str:
@@ -113,48 +116,93 @@ def build(spec: Spec):
 
 class Codec:
     def __init__(self, path: str):
+        import os
+
+        os.environ.setdefault("RAYON_NUM_THREADS", "2")  # read when the library's threads start
         import sentencepiece
+        from tokenizers import normalizers
 
         self.spec = Spec(path)
         self.tok = build(self.spec)
         self.bare = build(self.spec)  # for words: they are normalised already
+        self.bare.normalizer = normalizers.Sequence([])
         self.lib = sentencepiece.SentencePieceProcessor(model_file=path)
-        from tokenizers import normalizers
-
         self.norm = self.tok.normalizer
-        self.bare.normalizer = normalizers.Sequence([])
-        self.words: dict[str, tuple[bytes, bool, bool]] = {}
-
-    def split(self, text: str) -> list[str]:
-        s = self.norm.normalize_str(text) if text else ""
-        return re.findall(f"{MARK}*[^{MARK}]+|{MARK}+", s) if self.spec.by_word else [s] if s else []
-
-    def learn(self, new: list[str]) -> None:
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        ours = [e.ids for e in self.bare.encode_batch_fast(new, add_special_tokens=False)]
-        back = self.bare.decode_batch(ours, skip_special_tokens=False)
-        # the library adds the marker that the word already starts with
-        one = [w[1:].replace(MARK, " ") if w.startswith(MARK) and self.spec.dummy_prefix else w.replace(MARK, " ") for w in new]
-        theirs = self.lib.encode(one, num_threads=1)
-        for w, a, b, s, t in zip(new, ours, back, one, theirs, strict=True):
-            same = a == t
-            self.words[w] = (np.array(a if same else t, "<u4").tobytes(), same, b == s)
+        self.cache = Cache(self.resolve)
+        self.reset()
+
+    def reset(self) -> None:
+        self.cache.clear()
+        # word k has ids pool[at[k]:at[k] + size[k]]; back[k]: they decode to the word
+        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.at, self.size, self.back = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def normal(self, text: str) -> str:
+        """The normalised text; without a character map and squeezing that is the prefix and the markers."""
+        if not text or self.spec.charsmap or self.spec.squeeze:
+            return self.norm.normalize_str(text) if text else ""
+        return MARK * self.spec.dummy_prefix + text.replace(" ", MARK)
+
+    def resolve(self, words: list[str]) -> np.ndarray:
+        ids = [e.ids for e in self.bare.encode_batch_fast(words, add_special_tokens=False)]
+        text = self.bare.decode_batch(ids, skip_special_tokens=False)
+        # a decoder that drops the blank of the prefix drops it of every word
+        plain = [w.replace(MARK, " ") for w in words]
+        back = [t == (p[1:] if self.spec.dummy_prefix and p[:1] == " " else p) for t, p in zip(text, plain, strict=True)]
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
+        total = int(n.sum())
+        while len(self.pool) < self.used + total:
+            self.pool = np.append(self.pool, np.zeros(len(self.pool), np.uint32))
+        self.pool[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
+        first = len(self.at)
+        self.at = np.append(self.at, self.used + np.cumsum(n) - n)
+        self.size, self.back = np.append(self.size, n), np.append(self.back, back)
+        self.used += total
+        return np.arange(first, len(self.at))
 
     def encode(self, texts: list[str | None]) -> list[tuple[bytes, bool, bool]]:
-        """ids as little-endian uint32 bytes, whether the library gives the same, whether all words decode to themselves."""
-        cut = [self.split(t or "") for t in texts]
-        new = list(dict.fromkeys(w for c in cut for w in c if w not in self.words))
-        if new:
-            old = {w: self.words[w] for c in cut for w in c if w in self.words} if len(self.words) > CACHE_WORDS else {}
-            self.learn(new)
-            self.words.update(old)
+        """Per text: ids as little-endian uint32 bytes; whether the library gives the same for it; whether they decode to it."""
         out = []
-        for c in cut:
-            got = [self.words[w] for w in c]
-            out.append((b"".join(g[0] for g in got), all(g[1] for g in got), all(g[2] for g in got)))
+        for _, part in in_slices(texts):
+            out += self._encode(part)
+        return out
+
+    def _encode(self, texts: list[str]) -> list[tuple[bytes, bool, bool]]:
+        if self.used > POOL_IDS:
+            self.reset()
+        cp, starts = lay([self.normal(t) for t in texts], None)
+        ends = np.append(starts[1:], len(cp)) - 1
+        head = cp != END_CP
+        if self.spec.by_word:  # at the first of a run of markers, and at the start of a text
+            mark = cp == ord(MARK)
+            head[1:] &= mark[1:] & ~mark[:-1]
+        else:
+            head[:] = False
+        head[starts[starts < ends]] = True
+        begin = np.flatnonzero(head)
+        end = np.minimum(np.append(begin[1:], len(cp)), ends[np.searchsorted(starts, begin, "right") - 1])
+        word = self.cache.get(cp, begin, end)
+        n = self.size[word]
+        total = np.append(0, np.cumsum(n))
+        ids = self.pool[np.repeat(self.at[word] - total[:-1], n) + np.arange(total[-1])].astype("<u4")
+        cut = np.searchsorted(begin, np.append(starts, len(cp)))
+        bad = np.append(0, np.cumsum(~self.back[word]))
+        bad = bad[cut[1:]] > bad[cut[:-1]]
+        edge, out = total[cut].tolist(), []
+        for k, theirs in enumerate(self.lib.encode(texts, num_threads=1)):
+            own = ids[edge[k] : edge[k + 1]]
+            parity = len(own) == len(theirs) and bool((own == np.array(theirs, np.uint32)).all())
+            out.append((own.tobytes(), parity, self._returns(texts[k], own) if bad[k] or self.lossy else MARK not in texts[k]))
         return out
 
+    @property
+    def lossy(self) -> bool:
+        """The normaliser may change more than blanks, so words that decode to themselves do not prove the text does."""
+        return bool(self.spec.charsmap) or self.spec.squeeze or not self.spec.by_word
+
+    def _returns(self, text: str, ids: np.ndarray) -> bool:
+        return self.decode([ids.tolist()])[0] == text
+
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.tok.decode_batch(ids, skip_special_tokens=False)
 
@@ -165,7 +213,11 @@ def codec(path: str) -> Codec:
 
 
 def encode_docs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """doc_id, ids (uint32, little-endian), parity, round_trip. Null text is empty and has no ids."""
+    """doc_id, ids (uint32, little-endian), parity, round_trip; one row per row of docs, also for repeated ids.
+
+    parity: the sentencepiece library gives the same ids for the whole text. round_trip: the ids decode to the text; a text that holds
+    the marker itself decodes to a blank there. Null text is empty, has no ids and passes both. Columns other than the two named are left out.
+    """
     path = path or default_path()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
