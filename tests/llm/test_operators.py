@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -82,25 +83,58 @@ def test_secret_spans(spark, docs):
 
 
 def brute_entropy(run):
-    first, last = None, None
-    for alphabet, bits in secrets.CLASSES.values():
-        for i in range(len(run) - secrets.WINDOW + 1):
-            w = run[i : i + secrets.WINDOW]
-            if all(c in alphabet for c in w):
-                h = -sum(n / len(w) * np.log2(n / len(w)) for n in Counter(w).values())
-                if h >= bits - 1e-9:
-                    first, last = min(i, i if first is None else first), max(i + len(w), last or 0)
-    return (first, last) if last else None
+    """Merged stretches of the run's random windows, fillers blanked in long runs."""
+    if any(re.search(p, run) for p in secrets.ALLOW):
+        return []
+    filler = re.compile("(?i)" + "|".join(secrets.FILLERS))
+    if len(run) <= secrets.SHORT and (filler.search(run) or re.search(r"(.)\1{7}", run)):
+        return []
+    for p in (*(f"(?i){f}" for f in secrets.FILLERS), r"(.)\1{7}"):
+        run = re.sub(p, lambda m: " " * len(m[0]), run)
+    out = []
+    for i in range(len(run) - secrets.WINDOW + 1):
+        w = run[i : i + secrets.WINDOW]
+        h = -sum(n / len(w) * np.log2(n / len(w)) for n in Counter(w).values())
+        if any(set(w) <= set(alphabet) and h >= bits - 1e-9 for alphabet, bits in secrets.CLASSES.values()):
+            if out and out[-1][1] >= i:
+                out[-1][1] = i + len(w)
+            else:
+                out.append([i, i + len(w)])
+    return out
 
 
 def test_entropy_windows(spark):
     rng = np.random.default_rng(3)
-    pool = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
-    runs = ["".join(rng.choice(list(pool), 30)) for _ in range(8)] + ["9f8e7d6c5b4a39281706f5e4d", "aab1" * 6, "Q7" * 15, "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123"]
+    pool = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    runs = ["".join(rng.choice(pool, 30)) for _ in range(8)] + ["9f8e7d6c5b4a39281706f5e4d", "aab1" * 6, "Q7" * 15, "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123"]
+    # random ends around a dull middle; more than one stretch of windows; fillers in a long and in a short run
+    a, b = ("".join(rng.choice(pool, 40)) for _ in range(2))
+    runs += [a + "zb1" * 20 + b, "".join(rng.choice(pool, 3 * secrets.STRETCH + 7)), a + "z1b" * 30 + "EXAMPLE" + b + "z" * 9 + a + "x1x1" * 20, a + "example", "".join(rng.choice(list("wxyz1"), 1500))]
     got = {r.doc_id: r.spans for r in secrets.secret_report(spark.createDataFrame([(i, f"é {s} .") for i, s in enumerate(runs)], "doc_id bigint, text string")).collect()}
     for i, s in enumerate(runs):
-        want = None if any(re.search(p, s) for p in secrets.ALLOW) else brute_entropy(s)
-        assert got[i] == (f"entropy:{want[0] + 2}:{want[1] + 2}" if want else "")
+        assert got[i] == ",".join(f"entropy:{x + 2}:{y + 2}" for x, y in brute_entropy(s))
+    assert len(got[12].split(",")) == 2 and len(got[14].split(",")) >= 3 and got[15] == ""
+
+
+def test_secrets_in_very_long_texts(spark):
+    """One run of a million characters, and thousands of spans."""
+    rng = np.random.default_rng(4)
+    run = "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"), 1_000_000))
+    many = "é " + " ".join(f"password=abcdefgh{i}" for i in range(20_000))
+    began = time.perf_counter()
+    rows = secrets.redact(spark.createDataFrame([(1, run), (2, many)], "doc_id bigint, text string")).orderBy("doc_id").collect()
+    assert time.perf_counter() - began < 60
+    assert rows[0].text.count("[SECRET]") > 100 and len(rows[0].text) < 100_000
+    assert rows[1].text == "é " + " ".join(["[SECRET]"] * 20_000)
+
+
+def test_secrets_keep_clashing_columns(spark):
+    t = "é password=abcdefgh1 x"
+    names = ["doc_id", "text", "row", "base", "found", "p0", "__runs", "new", "a.b"]
+    df = spark.createDataFrame([(1, t, *range(7)), (1, None, *range(7))], "doc_id bigint, text string, row int, base int, found int, p0 int, __runs int, new int, `a.b` int")
+    assert secrets.scan(df).columns == [*names, "__spans"]
+    got = sorted(map(tuple, secrets.redact(df).collect()), key=lambda r: r[1] or "")
+    assert got == [(1, None, *range(7)), (1, "é [SECRET] x", *range(7))]
 
 
 def test_redaction_and_allow_list(spark):
