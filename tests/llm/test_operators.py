@@ -170,6 +170,79 @@ def test_quality_model_without_labels(spark, docs):
     assert quality_model.score_report(docs, none).count() == docs.count()
 
 
+def test_quality_model_by_hand(spark):
+    """The whole fit and score once more: dictionaries, sizes, a logistic fit by another way; ties, repeats, empty and long texts."""
+    import zstandard
+
+    rng = np.random.default_rng(8)
+    vocab = [[f"{p}{i}" for i in range(300)] for p in ("good", "junk")]
+    data = [(i, " ".join(rng.choice(vocab[i % 2], int(rng.integers(5, 200)))), 1 - i % 2) for i in range(600)]
+    data += [(1000, "", 0), (1001, None, 1), (1002, " ".join(rng.choice(vocab[0], 9000)), 1), (1003, "x", 0), (1003, "a", 0)]
+    df = spark.createDataFrame([(i, t) for i, t, _ in data], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, q, 0) for i, _, q in data] + [(0, 1, 0), (None, 1, 0), (5, None, 0)], "doc_id bigint, quality int, toxic int")
+    got = {r.doc_id: r for r in quality_model.score_report(df.distinct(), labels).collect()}
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5
+    h = {r.doc_id: r.h for r in df.select("doc_id", F.xxhash64("doc_id", F.lit(7)).alias("h")).collect()}
+    smallest = {}
+    for i, t, q in data:
+        if fold(i) and t is not None:
+            smallest[i, q] = min(t, smallest.get((i, q), t))
+    sides = [[t.encode() for (i, q), t in sorted(smallest.items(), key=lambda x: (h[x[0][0]], x[0][0])) if q == k] for k in (1, 0)]
+    dicts = []
+    for side in sides:
+        parts = [t[j : j + 512] for t in side[: (len(side) + 1) // 2] for j in range(0, len(t), 512)]
+        dicts.append(zstandard.ZstdCompressionDict(zstandard.train_dictionary(65536, parts).as_bytes()))
+    tools = [zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False, write_dict_id=False, **({"dict_data": d} if d else {})) for d in (*dicts, None)]
+
+    def inputs(t):
+        g, b, p = (len(c.compress(t)) for c in tools)
+        d, own, size = max(-0.3, min(0.3, (b - g) / (b + g))), min(1.5, p / (len(t) + 20)), np.log(len(t) + 20)
+        return [d, own, own * own, size, d * size, own * size]
+
+    rest = [s[(len(s) + 1) // 2 :] for s in sides]
+    x = np.array([inputs(t) for s in rest for t in s])
+    y = np.array([1.0] * len(rest[0]) + [0.0] * len(rest[1]))
+    pairs = {(i, q) for i, _, q in data if fold(i)} | ({(0, 1)} if fold(0) else set())
+    share = sum(q for _, q in pairs) / len(pairs)
+    w = np.where(y == 1, share / len(rest[0]), (1 - share) / len(rest[1])) * len(y)
+    mean, scale = x.mean(0), x.std(0) + 1e-9
+    z = np.column_stack([(x - mean) / scale, np.ones(len(x))])
+    beta = np.zeros(7)
+    for _ in range(200_000):  # plain descent on the same penalised likelihood
+        step = z.T @ (w * (y - 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30))))) - 0.05 * beta
+        beta += 0.002 * step
+        if np.abs(step).max() < 1e-6:
+            break
+    for i, t, _ in data:
+        if i != 1003:
+            want = 1 / (1 + np.exp(-np.clip(np.append((np.array(inputs((t or "").encode())) - mean) / scale, 1) @ beta, -30, 30)))
+            assert abs(got[i].score - want) < 0.01
+    held = [(got[i].predicted, q) for i, _, q in data if not fold(i)]
+    assert sum(p == q for p, q in held) / len(held) > 0.95
+    assert max(sum(q for _, q in held), sum(1 - q for _, q in held)) / len(held) < 0.7  # a constant would not do
+
+
+def test_quality_model_beats_the_base_rate(spark):
+    d, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    got = {r.doc_id: r for r in quality_model.score_report(d, labels).filter("held_out").collect()}
+    held = [(got[r.doc_id], r.quality) for r in labels.collect() if r.doc_id in got and r.quality is not None]
+    bad = [g.predicted for g, q in held if q == 0]
+    good = [g.predicted for g, q in held if q == 1]
+    assert sum(good) / len(good) > 0.95 and 1 - sum(bad) / len(bad) > 0.6
+
+
+def test_added_columns_replace_their_namesakes(spark):
+    df = spark.createDataFrame([(1, "a b", 9.0, 7)], "doc_id bigint, text string, score double, n_tokens int")
+    model = quality_model.fit([], [], 0.5)
+    assert quality_model.add_scores(df, model).columns == ["doc_id", "text", "n_tokens", "score"]
+    out = token_counts.add_token_counts(df)
+    assert out.columns == ["doc_id", "text", "score", "n_tokens"] and out.first().n_tokens == 2
+    t = spark.createDataFrame([(1, "a", 1, 2, 3), (2, "a", 4, 5, 6)], "doc_id bigint, text string, __kept int, `a.b` int, __row int")
+    assert [tuple(r) for r in exact_dedup.drop_exact_copies(t).collect()] == [(2, "a", 4, 5, 6)]
+    assert exact_dedup.exact_dedup(t).columns == ["doc_id", "text", "a.b", "__row", *exact_dedup.ADDED]
+    assert [tuple(r) for r in near_dedup.keep_one_of_each(t.withColumnRenamed("__row", "gone")).collect()] == [(1, "a", 1, 2, 3)]
+
+
 # 3
 
 
@@ -409,9 +482,26 @@ def test_cascade_order_changes_nothing(spark, docs):
     one = sorted(map(str, quality_rules.keep_good(table, order=names).collect()))
     assert one == sorted(map(str, quality_rules.keep_good(table, order=names[::-1]).collect()))
     assert len(one) == quality_rules.quality_report(table).filter("kept").count()
-    measured = quality_rules.measure(table.select("text"))
-    assert sorted(quality_rules.order_rules(measured)) == sorted(names)
-    assert quality_rules.order_rules([{"rule": "a", "cost_s": 1, "rejected": 0.5}, {"rule": "b", "cost_s": 0.1, "rejected": 0.2}]) == ["b", "a"]
+    assert sorted(quality_rules.plan(table)) == sorted(names)
+    assert sorted(quality_rules.plan(table.limit(0))) == sorted(names)
+
+
+def test_cascade_order():
+    """Rejection of what is left, per cost of what is new."""
+    m = quality_rules.Measured({"words": 1.0, "windows": 9.0, "lines": 0.5}, {r.name: 0.01 for r in quality_rules.RULES}, [(frozenset(["repeated_words", "few_distinct_words"]), 50), (frozenset(["duplicate_lines"]), 10), (frozenset(["capitals"]), 3), (frozenset(), 400)])
+    order = quality_rules.order_rules(m)
+    assert order[0] == "capitals"  # needs no counts
+    assert order.index("few_distinct_words") < order.index("repeated_words")  # the cheaper of two that reject the same
+    assert order[-1] == "repeated_words"  # rejects nothing that is left, at the highest price
+
+
+def test_quality_keeps_clashing_columns(spark):
+    good = "A plain sentence of quite ordinary words that goes on for a while, so that no rule at all finds any fault with what it says here."
+    df = spark.createDataFrame([(1, good, *range(6)), (2, "too short", *range(6)), (3, None, *range(6))], "doc_id bigint, text string, __words int, row int, at int, __h int, __n_words int, `a.b` int")
+    assert [tuple(r) for r in quality_rules.keep_good(df).collect()] == [(1, good, *range(6))]
+    out = quality_rules.cascade(df)
+    assert out.columns == ["doc_id", "text", "__words", "row", "at", "__h", "a.b", *quality_rules.COUNTS, "__rejected_by"]
+    assert [r["__n_words"] for r in out.orderBy("doc_id").collect()] == [len(good.split()), 2, 0]
 
 
 # 9

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftmat.plans.scratch import ROWS_A_FILE, materialize
 
-__all__ = ["ROWS_A_FILE", "materialize", "sized", "table", "text_or_empty", "word_array"]
+__all__ = ["ROWS_A_FILE", "materialize", "row_of", "sized", "table", "text_or_empty", "word_array"]
 
 #: Largest table, in bytes as counted before planning, that is sent to every executor.
 BROADCAST_BYTES = 16 << 20
@@ -26,6 +26,11 @@ def sized(df: DataFrame, nbytes: int | None) -> DataFrame:
     return F.broadcast(df) if nbytes is not None and nbytes <= BROADCAST_BYTES else df
 
 
+def row_of(df: DataFrame, *without: str) -> Column:
+    """All columns of df, but for those named, as one struct: beside it, working columns clash with no name."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in without], *([] if set(df.columns) - set(without) else [F.lit(None).alias("__none")])).alias("row")
+
+
 def text_or_empty(col: str | Column = "text") -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 

@@ -27,18 +27,27 @@ GROW = 16
 FILE_BYTES = 16 << 20
 
 
+ADDED = ("__keep_id", "__group_size", "__kept")
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", payload: list[str] | None = None) -> DataFrame:
-    """Returns the payload columns of every row (default: all) plus keep_id, group_size, kept.
+    """Returns the payload columns of every row (default: all) plus __keep_id, __group_size, __kept.
 
     Of equal texts the row with the largest id stays; of rows with that id, exactly one. Null text
-    equals empty text; null ids sort lowest. An empty table gives an empty result. The added columns are
-    named __keep_id, __group_size, __kept, so they cannot clash with columns of the input.
+    equals empty text; null ids sort lowest. An empty table gives an empty result. Columns named like the added ones are replaced.
     """
+    out = _decided(docs, id_col, text_col, payload)
+    names = docs.columns if payload is None else payload
+    return out.select(*[F.col("__row").getField(c).alias(c) for c in names if c not in ADDED], *ADDED)
+
+
+def _decided(docs: DataFrame, id_col: str, text_col: str, payload: list[str] | None) -> DataFrame:
+    """__row (a struct of the payload), __keep_id, __group_size, __kept."""
     payload = list(docs.columns) if payload is None else payload
     # A payload with the text is the only copy of it that travels; else the bytes still to compare travel alone.
     within = text_col in payload
     body = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    rows = docs.select(F.struct(*payload).alias("__row"), F.col(id_col).alias("__id"), F.lit(0).cast("bigint").alias("__gid"), *([] if within else [body.alias("__rest")]))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in payload]).alias("__row"), F.col(id_col).alias("__id"), F.lit(0).cast("bigint").alias("__gid"), *([] if within else [body.alias("__rest")]))
     rest = F.coalesce(F.col("__row").getField(text_col), F.lit("")).cast("binary") if within else F.col("__rest")
     alone = lambda df: df.select("__row", F.col("__id").alias("__keep_id"), F.lit(1).cast("bigint").alias("__group_size"), F.lit(True).alias("__kept"))
     on, results, level, width, past, total = ["__gid", "__digit"], [], 0, 0, 0, None
@@ -73,12 +82,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = results[0]
     for r in results[1:]:
         out = out.unionByName(r)
-    return out.select("__row.*", "__keep_id", "__group_size", "__kept")
+    return out.select("__row", *ADDED)
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with the input's columns."""
-    return exact_dedup(docs, id_col, text_col).filter("__kept").select(*docs.columns)
+    return _decided(docs, id_col, text_col, None).filter("__kept").select("__row.*")
 
 
 def dedup_report(docs: DataFrame) -> DataFrame:

@@ -19,8 +19,6 @@ from pyspark.sql import functions as F
 
 #: Bound of the labelled sample, for each label: half for the dictionary, half for the calibration.
 SAMPLE_PER_LABEL = 3000
-#: Longer labelled texts are not learnt from; they are scored like all others.
-LEARN_CHARS = 8000
 DICT_BYTES, LEVEL = 65536, 3
 FOLDS, HELD_OUT_FOLD, THRESHOLD = 5, 0, 0.3
 
@@ -91,29 +89,34 @@ def fit(good: list[str], bad: list[str], share_good: float) -> Model:
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
-    """Model from at most SAMPLE_PER_LABEL documents a label, none of the held-out fold, picked by a hash of the id."""
-    usable = labels.select("doc_id", "quality").filter((fold() != HELD_OUT_FOLD) & F.col("quality").isin(0, 1))
+    """Model from at most SAMPLE_PER_LABEL documents a label, none of the held-out fold, picked by a hash of the id.
+
+    Rows of labels that repeat count once; a doc_id with both labels is learnt as both. Of rows that share a doc_id the
+    smallest text is taken. Null ids, labels and texts are not learnt from.
+    """
+    usable = labels.select("doc_id", "quality").filter((fold() != HELD_OUT_FOLD) & F.col("quality").isin(0, 1)).distinct()
     n = dict(usable.groupBy("quality").count().collect())
     picked = None
     for label in (0, 1):
         some = usable.filter(F.col("quality") == label).orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(SAMPLE_PER_LABEL)
         picked = some if picked is None else picked.unionByName(some)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").filter(F.length("text") <= LEARN_CHARS)
-    rows = rows.select("quality", "text", F.xxhash64("doc_id", F.lit(7)).alias("h")).collect()  # at most 2 * SAMPLE_PER_LABEL
-    by = {k: [r.text for r in sorted((r for r in rows if r.quality == k), key=lambda r: (r.h, r.text))] for k in (0, 1)}
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    rows = rows.filter(F.col("text").isNotNull()).select("quality", "text", F.xxhash64("doc_id", F.lit(7)).alias("h"), "doc_id").collect()  # at most 2 * SAMPLE_PER_LABEL
+    by = {k: [r.text for r in sorted((r for r in rows if r.quality == k), key=lambda r: (r.h, r.doc_id))] for k in (0, 1)}
     return fit(by[1], by[0], n.get(1, 0) / max(1, sum(n.values())) if n else 0.5)
 
 
 def add_scores(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "score") -> DataFrame:
-    """docs plus out_col in [0, 1]; only the text is looked at. Null text is empty."""
+    """docs plus out_col in [0, 1]; only the text is looked at. Null text is empty. A column named out_col is replaced."""
     names = docs.columns
+    at, keep = names.index(text_col), [k for k, c in enumerate(names) if c != out_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = model.scores(b.column(names.index(text_col)).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], [*names, out_col])
+            s = model.scores(b.column(at).to_pylist())
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(s, pa.float64())], [*(names[k] for k in keep), out_col])
 
-    return docs.mapInArrow(run, docs.select("*", F.lit(0.0).alias(out_col)).schema)
+    return docs.mapInArrow(run, docs.select(*[F.col(f"`{names[k]}`") for k in keep], F.lit(0.0).alias(out_col)).schema)
 
 
 def score_report(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -124,17 +124,17 @@ def count_texts(texts: list[str | None], path: str | None = None) -> np.ndarray:
 
 
 def add_token_counts(docs: DataFrame, text_col: str = "text", out_col: str = "n_tokens", path: str | None = None) -> DataFrame:
-    """docs with out_col; all columns pass through, none may be named out_col already. Null text counts 0."""
+    """docs with out_col; all columns pass through, but one named out_col is replaced. Null text counts 0."""
     path = path or default_path()
     names = docs.columns
+    at, keep = names.index(text_col), [k for k, c in enumerate(names) if c != out_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n = count_texts(b.column(names.index(text_col)).to_pylist(), path)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64())], [*names, out_col])
+            n = count_texts(b.column(at).to_pylist(), path)
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(n, pa.int64())], [*(names[k] for k in keep), out_col])
 
-    schema = docs.select("*", F.lit(0).cast("bigint").alias(out_col)).schema
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, docs.select(*[F.col(f"`{names[k]}`") for k in keep], F.lit(0).cast("bigint").alias(out_col)).schema)
 
 
 def token_report(docs: DataFrame) -> DataFrame:
