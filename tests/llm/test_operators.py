@@ -565,19 +565,48 @@ def license_rows(spark, texts):
     return [r for r in sorted(got, key=lambda r: r.doc_id)]
 
 
-def gpl(version, free=":", foundation=","):
-    return f"""This program is free software{free} you can redistribute it and/or modify
-it under the terms of the GNU General Public License as published by
+def gpl(version, free=":", foundation=",", name="General", thing="program"):
+    return f"""This {thing} is free software{free} you can redistribute it and/or modify
+it under the terms of the GNU {name} Public License as published by
 the Free Software Foundation{foundation} either version {version} of the License, or
 (at your option) any later version.
 
-This program is distributed in the hope that it will be useful,
+This {thing} is distributed in the hope that it will be useful,
 but WITHOUT ANY WARRANTY; without even the implied warranty of
 MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
-GNU General Public License for more details.
+GNU {name} Public License for more details.
 """
 
 
+GPL2_ONLY = """This program is free software; you can redistribute it and/or
+modify it under the terms of the GNU General Public License version 2
+as published by the Free Software Foundation.
+
+This program is distributed in the hope that it will be useful, but WITHOUT
+ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or
+FITNESS FOR A PARTICULAR PURPOSE.
+"""
+EPL = """This program and the accompanying materials are made available under the
+terms of the Eclipse Public License 2.0 which is available at
+https://www.eclipse.org/legal/epl-2.0/
+"""
+EPL1 = """All rights reserved. This program and the accompanying materials
+are made available under the terms of the Eclipse Public License v1.0
+which accompanies this distribution, and is available at
+http://www.eclipse.org/legal/epl-v10.html
+"""
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+"""
+MPL2 = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
 APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
 you may not use this file except in compliance with the License.
 You may obtain a copy of the License at
@@ -607,6 +636,11 @@ STANDARD = [
     ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy", "MPL"), ("This is free and unencumbered software released into the public domain.", "Unlicense"),
     ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "CC-BY-NC-4.0"), ("Licensed under CC BY-SA 4.0", "CC-BY-SA-4.0"), ("Licensed under CC BY 4.0.", "CC-BY-4.0"),
     ("All rights reserved.", "LicenseRef-all-rights-reserved"),
+    (gpl(3, name="Lesser General", thing="library"), "LGPL-3.0-or-later"), (gpl("2.1", ";", ";", "Lesser General", "library"), "LGPL-2.1-or-later"), (gpl(3, ":", ",", "Lesser General"), "LGPL-3.0-or-later"),
+    (gpl(3, name="Affero General"), "AGPL-3.0-or-later"), (GPL2_ONLY, "GPL-2.0-only"), (EPL, "EPL-2.0"), (EPL1, "EPL-1.0,LicenseRef-all-rights-reserved"), (ZLIB, "Zlib"), (MPL2, "MPL-2.0,MPL"),
+    ("Distributed under the Boost Software License, Version 1.0.", "BSL-1.0"),
+    ("To the extent possible under law, the author(s) have dedicated all copyright\nand related and neighboring rights to this software to the public domain worldwide.", "CC0-1.0"),
+    *((f"/* SPDX-License-Identifier: {n} */", n) for n in licenses.SPDX),
 ]
 
 
@@ -614,11 +648,24 @@ def test_license_standard_texts(spark):
     texts = [t for t, _ in STANDARD] + ["".join(f"# {x}\n" for x in gpl(3).splitlines())]
     got = license_rows(spark, texts)
     assert [r.licenses for r in got] == [w for _, w in STANDARD] + ["GPL-3.0-or-later"]
-    assert {n for r in got for n in r.licenses.split(",")} == {n for n, _ in licenses.RULES}
-    assert got[0].sentence_ids == "gpl-free,gpl-3-terms,gpl-without-warranty,gpl-without-implied,gpl-details"
+    assert {n for r in got for n in r.licenses.split(",")} == {n for n, _ in licenses.RULES} - {"LGPL-3.0-only", "LGPL-2.1-only", "AGPL-3.0-only"}
+    assert got[0].sentence_ids == "gnu-free,gpl-3-terms,gnu-without-warranty,gnu-without-implied,gpl-details"
     assert license_rows(spark, [gpl(3).partition("This program is distributed")[0]])[0].licenses == ""
 
 
+def test_license_sql_on_licence_texts(spark, tmp_path):
+    """The SQL, whose cutting and matching share nothing with the query, on every standard text, on mixtures, and on odd rows."""
+    texts = [t for t, _ in STANDARD]
+    texts += ["\n\n".join(texts[i] for i in (k, (k * 7 + 3) % len(texts), (k * 5 + 1) % len(texts))) for k in range(len(texts))]
+    texts += [None, "", "MIT", "spdx-license-identifier", "x\n" * 3000 + MIT, MIT * 50, "".join(f"# {x}\n" for x in gpl(2, ";", ";").splitlines()), gpl(3), gpl(3)]
+    df = spark.createDataFrame([*enumerate(texts), (3, texts[3])], "doc_id bigint, text string")
+    df.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    (tmp_path / "documents.parquet").rename(tmp_path / "parts")
+    next((tmp_path / "parts").glob("*.parquet")).rename(tmp_path / "documents.parquet")
+    got, want = both(spark, queries.queries()["op10_licenses"], queries.oracle_sql()["op10_licenses"], str(tmp_path))
+    assert rows(got) == rows(want) and len(got) == len(texts) + 1
+
+
 def test_license_wrapped_and_lines(spark):
     notice = "title\nLicensed under CC BY-NC 4.0\nsee file two\n\n"
     got = license_rows(spark, [notice + BSD2, BSD2 + "\n" + notice + MIT, notice + APACHE + "\n" + notice, "Licensed under the Apache License,\nVersion 2.0\n(the \"License\");", "Licensed under CC BY 4.0\nLicensed under the MIT\nLicense"])

@@ -1,4 +1,4 @@
-"""The training-data queries and their SQL, for __spark_entry__.py."""
+"""The training-data queries and their SQL, for __spark_entry__.py, which adds the pipeline."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
 from weftmat.llm import chat, exact_dedup, licenses, near_dedup, packing, quality_model, quality_rules, secrets, sentence_pieces, token_counts
 from weftmat.llm.common import table
 from weftmat.llm.sql import ORACLE
@@ -25,10 +24,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": docs(quality_rules.quality_report),
         "op9_chat": lambda spark, sf_dir: chat.chat_report(spark, table(spark, sf_dir, "conversations")),
         "op10_licenses": docs(licenses.license_report),
-        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)
-

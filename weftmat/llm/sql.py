@@ -49,19 +49,35 @@ CHAT = rf"""
 
 
 def _license_sql() -> str:
-    known = ", ".join(f"('{s}', '{i}')" for s, i in licenses.SENTENCES.items())
-    ends = [e.replace("$)", "\\z)") for e in licenses.ENDS.values()]
-    cut = " UNION ALL ".join(f"SELECT doc_id, {k} AS way, unnest(p) AS s, generate_subscripts(p, 1) AS pos FROM (SELECT doc_id, regexp_split_to_array(t, '{e}') AS p FROM d)" for k, e in enumerate(ends))
-    hits = ", ".join(f"CASE WHEN regexp_matches(',' || ids || ',', '{','.join(['', *[i + ',(?:.*,)?' for i in r[:-1]], r[-1], '']).replace(',(?:.*,)?,', ',(?:.*,)?')}') THEN '{name}' END" for name, r in licenses.RULES)
+    """The sentences and rules are shared data; cutting, normalising and matching are written anew.
+
+    Ends are first turned into marks: chr(2) ends a sentence, chr(10) within one ends a line. A sentence that is unknown as a
+    whole counts by its known lines. A rule matches if its identifiers follow one another at growing places, found step by step.
+    """
+    known = ", ".join(f"('{s}', '{i}')" for s, i in licenses.KNOWN.items())
     names = list(dict.fromkeys(n for n, _ in licenses.RULES))
-    order = ", ".join(f"'{n}'" for n in names)
+    rules = ", ".join(f"({names.index(n)}, '{n}', {list(r)!r})" for n, r in licenses.RULES)
+    norm = r"trim(regexp_replace({}, '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
     return rf"""
-    WITH d AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents), k(s, id) AS (VALUES {known}), c AS ({cut}),
-    h AS (SELECT doc_id, way, string_agg(id, ',' ORDER BY pos) AS ids, count(*) AS n FROM c JOIN k ON k.s = trim(regexp_replace(c.s, '[^\p{{L}}\p{{N}}]+', ' ', 'g')) GROUP BY doc_id, way),
-    b AS (SELECT doc_id, arg_max(ids, n * 2 - way) AS ids, max(n) AS n FROM h GROUP BY doc_id)
-    SELECT doc_id, coalesce(n, 0) AS n_known, coalesce(ids, '') AS sentence_ids,
-           coalesce(array_to_string(list_filter([{order}], lambda x: list_contains([{hits}], x)), ','), '') AS licenses
-    FROM d LEFT JOIN b USING (doc_id)"""
+    WITH RECURSIVE k(s, id) AS (VALUES {known}), ru(ord, name, want) AS (VALUES {rules}),
+    d AS (SELECT doc_id, rowid AS r, regexp_replace(regexp_replace(lower(coalesce(text, '')), '[.!?:;]+([ 	
+]+|\z)', chr(2), 'g'), '
+[ 	
+*#/]*
+', chr(2), 'g') AS t
+          FROM (SELECT *, row_number() OVER () AS rowid FROM documents)),
+    w AS (SELECT r, p AS pos, s FROM (SELECT r, unnest(string_split(t, chr(2))) AS s, generate_subscripts(string_split(t, chr(2)), 1) AS p FROM d)),
+    wk AS (SELECT w.*, k.id FROM w LEFT JOIN k ON k.s = {norm.format('w.s')}),
+    l AS (SELECT r, pos, q AS line, s FROM (SELECT r, pos, unnest(string_split(s, chr(10))) AS s, generate_subscripts(string_split(s, chr(10)), 1) AS q FROM wk WHERE id IS NULL)),
+    found AS (SELECT r, pos, 0 AS line, id FROM wk WHERE id IS NOT NULL UNION ALL SELECT r, pos, line, k.id FROM l JOIN k ON k.s = {norm.format('l.s')}),
+    h AS (SELECT r, list(id ORDER BY pos, line) AS ids FROM found GROUP BY r),
+    m(r, ord, name, want, ids, step) AS (
+      SELECT r, ord, name, want, ids, 0 FROM h, ru
+      UNION ALL SELECT r, ord, name, want, ids[list_position(ids, want[step + 1]) + 1:], step + 1 FROM m WHERE step < len(want) AND list_contains(ids, want[step + 1])),
+    hit AS (SELECT DISTINCT r, ord, name FROM m WHERE step = len(want)),
+    n AS (SELECT r, string_agg(name, ',' ORDER BY ord) AS licenses FROM hit GROUP BY r)
+    SELECT doc_id, CAST(coalesce(len(ids), 0) AS BIGINT) AS n_known, coalesce(array_to_string(ids, ','), '') AS sentence_ids, coalesce(licenses, '') AS licenses
+    FROM d LEFT JOIN h USING (r) LEFT JOIN n USING (r)"""
 
 
 ORACLE = {"op4_exact_dedup": EXACT, "op6_near_dedup": NEAR, "op8_quality_rules": RULES, "op9_chat": CHAT, "op10_licenses": _license_sql()}
