@@ -288,10 +288,10 @@ def test_words_of_equal_hash_are_told_apart(spark, monkeypatch):
     # even if all hashes are equal
     monkeypatch.setattr(pretokens, "hashes", lambda cp, begin, end: np.full(len(begin), 5, np.uint64))
     cache = pretokens.Cache(lambda words: np.array([len(w) for w in words]))
-    cp, _ = pretokens.lay(["one two", "three two one"], None)
+    text, cp, _ = pretokens.lay(["one two", "three two one"], None)
     begin, end = np.array([0, 3, 8, 13, 17]), np.array([3, 7, 13, 17, 21])
     for _ in range(2):
-        assert cache.get(cp, begin, end).tolist() == [3, 4, 5, 4, 4]
+        assert cache.get(text, cp, begin, end).tolist() == [3, 4, 5, 4, 4]
     assert len(set(pretokens.exact_ids(cp, begin, end).tolist())) == 4
 
 
@@ -451,7 +451,7 @@ def test_every_character_is_split_as_by_the_library():
     pre = packing._encoder(token_counts.default_path()).tok.pre_tokenizer
     for lo in range(0, 0x30000, 0x1000):
         s = "".join(f"a{chr(c)}1" for c in range(lo, lo + 0x1000) if not 0xD800 <= c < 0xE000)
-        cp, _ = pretokens.lay([s], None)
+        _, cp, _ = pretokens.lay([s], None)
         b, e, _ = pretokens.boundaries(cp)
         assert [s[i:j] for i, j in zip(b, e, strict=True)] == [s[i:j] for _, (i, j) in pre.pre_tokenize_str(s)]
 

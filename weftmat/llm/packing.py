@@ -75,11 +75,11 @@ class Encoder:
         """All ids end to end, and the number of each text's."""
         if self.used > POOL_IDS:
             self.reset()
-        cp, starts = lay(texts, self.special)
+        laid, cp, starts = lay(texts, self.special)
         begin, end, special = boundaries(cp)
         word = np.zeros(len(begin), np.int64)
         plain = np.flatnonzero(~special)
-        word[plain] = self.cache.get(cp, begin[plain], end[plain])
+        word[plain] = self.cache.get(laid, cp, begin[plain], end[plain])
         off, n = self.at[word], self.size[word]
         total = np.append(0, np.cumsum(n))
         ids = self.pool[np.repeat(off - total[:-1], n) + np.arange(total[-1])]

@@ -46,8 +46,8 @@ def classes() -> np.ndarray:
     return np.append(t, np.array([END, SPECIAL], np.uint8))
 
 
-def lay(texts: list[str], special: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of all texts, each followed by END_CP, and the offset of each text; special strings become one SPECIAL_CP."""
+def lay(texts: list[str], special: str | None) -> tuple[str, np.ndarray, np.ndarray]:
+    """All texts in one string, its code points with END_CP behind each text, and the offset of each; special strings become one SPECIAL_CP."""
     marks: list[int] = []
     at, starts = 0, np.empty(len(texts), np.int64)
     parts = []
@@ -63,10 +63,11 @@ def lay(texts: list[str], special: str | None) -> tuple[np.ndarray, np.ndarray]:
         parts.append(t)
         at += len(t) + 1
     parts.append("")
-    cp = np.frombuffer("\0".join(parts).encode("utf-32-le", "surrogatepass"), "<u4").copy() if texts else np.zeros(0, np.uint32)
+    laid = "\0".join(parts)
+    cp = np.frombuffer(laid.encode("utf-32-le", "surrogatepass"), "<u4").copy()
     cp[np.append(starts[1:], at) - 1 if len(texts) else []] = END_CP
     cp[marks] = SPECIAL_CP
-    return cp, starts
+    return laid, cp, starts
 
 
 def boundaries(cp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -199,21 +200,21 @@ class Cache:
         self.key[slot], self.val[slot], self.at[slot], self.size[slot] = h, val, head + self.used, n
         self.used += total
 
-    def get(self, cp: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    def get(self, text: str, cp: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Of the words text[begin:end], whose code points are cp."""
         h, n = hashes(cp, begin, end), end - begin
         slot = (h >> np.uint64(64 - SLOTS_LOG2)).astype(np.int64)
         out = self.val[slot]
         hit = (self.key[slot] == h) & (self.size[slot] == n)
         hit[hit] = same(cp, begin[hit], self.pool, self.at[slot[hit]].astype(np.int64), n[hit])
-        todo, raw = np.flatnonzero(~hit), None
+        todo = np.flatnonzero(~hit)
         while len(todo):
-            raw = cp.astype("<u4", copy=False) if raw is None else raw
             new, first, which = np.unique(h[todo], return_index=True, return_inverse=True)
             at = todo[first]
             head = at[which]
             ok = n[todo] == n[head]
             ok[ok] = same(cp, begin[todo[ok]], cp, begin[head[ok]], n[todo[ok]])
-            found = self.resolve([raw[i:j].tobytes().decode("utf-32-le", "surrogatepass") for i, j in zip(begin[at].tolist(), end[at].tolist(), strict=True)])
+            found = self.resolve([text[i:j] for i, j in zip(begin[at].tolist(), end[at].tolist(), strict=True)])
             out[todo[ok]] = found[which[ok]]
             self._keep(slot[at], new, found, cp, begin[at], n[at])
             todo = todo[~ok]  # other words of equal hash

@@ -3,9 +3,12 @@
 The model file is read field by field: pieces with scores and types, the model type, normaliser flags and character map. From them
 come a normaliser (character map, white space, dummy prefix, metaspace marker), a Unigram model with the
 scores or a BPE model whose merge ranks follow them, byte fallback and the decoder. Texts are cut into
-words at markers where no piece crosses one; distinct words are encoded and decoded again in multithreaded batches
-and their ids kept in one array. The sentencepiece library then encodes every whole text: a difference is
-reported as parity = false, and the ids returned are always those of the rebuilt tokenizer.
+words at markers where no piece crosses one; distinct words are encoded in multithreaded batches and their ids kept in one array.
+
+Parity is verified for every whole text. Where no piece has a marker behind another character, so that no piece crosses a word, the
+sentencepiece library gives a text the ids of its words one after the other: then every text is normalised by the library and compared, and
+every distinct word is encoded by the library behind another word. For other models the library encodes every text. A difference is
+reported as parity = false; the ids returned are always those of the rebuilt tokenizer.
 """
 
 from __future__ import annotations
@@ -20,13 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftmat.llm.pretokens import END_CP, Cache, in_slices, lay
+from weftmat.llm.pretokens import END_CP, Cache, in_slices, lay, same
 
 MARK = "\u2581"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Ids that a worker's cache holds before it starts anew.
 POOL_IDS = 3_000_000
+#: Parts into which a batch of words is cut, to be encoded by as many threads as there are.
+PARTS = 4
 
 
 def default_path() -> str:
@@ -128,14 +133,22 @@ class Codec:
         self.bare.normalizer = normalizers.Sequence([])
         self.lib = sentencepiece.SentencePieceProcessor(model_file=path)
         self.norm = self.tok.normalizer
+        #: The normaliser may change more than blanks, or pieces may cross words: words then prove nothing about texts.
+        self.lossy = bool(self.spec.charsmap) or self.spec.squeeze or not self.spec.by_word
+        parts = [bytes([int(p[3:5], 16)]) if t == BYTE else p.encode() for p, t in zip(self.spec.pieces, self.spec.types, strict=True)]
+        self.piece_bytes = np.frombuffer(b"".join(parts), np.uint8)
+        self.piece_size = np.fromiter(map(len, parts), np.int64, len(parts))
+        self.piece_at = np.cumsum(self.piece_size) - self.piece_size
         self.cache = Cache(self.resolve)
         self.reset()
 
     def reset(self) -> None:
         self.cache.clear()
-        # word k has ids pool[at[k]:at[k] + size[k]]; back[k]: they decode to the word
+        # word k has ids pool[at[k]:at[k] + size[k]]
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.at, self.size, self.back = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        # whether they spell the word, and whether the library gives the same
+        self.back, self.parity = np.zeros(0, bool), np.zeros(0, bool)
 
     def normal(self, text: str) -> str:
         """The normalised text; without a character map and squeezing that is the prefix and the markers."""
@@ -144,22 +157,47 @@ class Codec:
         return MARK * self.spec.dummy_prefix + text.replace(" ", MARK)
 
     def resolve(self, words: list[str]) -> np.ndarray:
-        ids = [e.ids for e in self.bare.encode_batch_fast(words, add_special_tokens=False)]
-        text = self.bare.decode_batch(ids, skip_special_tokens=False)
-        # a decoder that drops the blank of the prefix drops it of every word
-        plain = [w.replace(MARK, " ") for w in words]
-        back = [t == (p[1:] if self.spec.dummy_prefix and p[:1] == " " else p) for t, p in zip(text, plain, strict=True)]
-        n = np.fromiter(map(len, ids), np.int64, len(ids))
-        total = int(n.sum())
-        while len(self.pool) < self.used + total:
+        step = max(1, -(-len(words) // PARTS))
+        parts = self.bare.encode_batch([words[i : i + step] for i in range(0, len(words), step)], is_pretokenized=True, add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in parts])
+        n = np.concatenate([np.bincount(np.array(e.word_ids, np.int64), minlength=min(step, len(words) - k * step)) for k, e in enumerate(parts)])
+        while len(self.pool) < self.used + len(ids):
             self.pool = np.append(self.pool, np.zeros(len(self.pool), np.uint32))
-        self.pool[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
+        self.pool[self.used : self.used + len(ids)] = ids
         first = len(self.at)
-        self.at = np.append(self.at, self.used + np.cumsum(n) - n)
-        self.size, self.back = np.append(self.size, n), np.append(self.back, back)
-        self.used += total
+        at = self.used + np.cumsum(n) - n
+        self.at, self.size = np.append(self.at, at), np.append(self.size, n)
+        self.used += len(ids)
+        self.back = np.append(self.back, self._spells(words, ids, n))
+        if not self.lossy:
+            self.parity = np.append(self.parity, self._agrees(words, ids, n))
         return np.arange(first, len(self.at))
 
+    def _spells(self, words: list[str], ids: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Whether the pieces of each word's ids, byte pieces as their byte, are its UTF-8."""
+        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        want, size = np.fromiter(map(len, raw), np.int64, len(raw)), self.piece_size[ids]
+        at, edge = np.append(0, np.cumsum(size)), np.append(0, np.cumsum(n))
+        out = at[edge[1:]] - at[edge[:-1]] == want
+        word = np.repeat(np.arange(len(words)), n)
+        place = at[:-1] - at[edge[:-1]][word] + (np.cumsum(want) - want)[word]
+        fits = out[word] & (size > 0)
+        equal = same(np.frombuffer(b"".join(raw), np.uint8), place[fits], self.piece_bytes, self.piece_at[ids[fits]], size[fits])
+        out[word[fits][~equal]] = False
+        return out
+
+    def _agrees(self, words: list[str], ids: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Whether the library gives each word's ids where it follows another word; a first word without a marker stands alone."""
+        before = self.lib.encode("x")
+        theirs = self.lib.encode(["x" + w.replace(MARK, " ") if w[0] == MARK else w for w in words], num_threads=1)
+        theirs = [t[len(before) :] if w[0] == MARK else t for t, w in zip(theirs, words, strict=True)]
+        m = np.fromiter(map(len, theirs), np.int64, len(theirs))
+        flat = np.fromiter(chain.from_iterable(theirs), np.uint32, int(m.sum()))
+        out = m == n
+        some = out & (n > 0)
+        out[some] = same(ids, (np.cumsum(n) - n)[some], flat, (np.cumsum(m) - m)[some], n[some])
+        return out
+
     def encode(self, texts: list[str | None]) -> list[tuple[bytes, bool, bool]]:
         """Per text: ids as little-endian uint32 bytes; whether the library gives the same for it; whether they decode to it."""
         out = []
@@ -170,7 +208,8 @@ class Codec:
     def _encode(self, texts: list[str]) -> list[tuple[bytes, bool, bool]]:
         if self.used > POOL_IDS:
             self.reset()
-        cp, starts = lay([self.normal(t) for t in texts], None)
+        normal = [self.normal(t) for t in texts]
+        laid, cp, starts = lay(normal, None)
         ends = np.append(starts[1:], len(cp)) - 1
         head = cp != END_CP
         if self.spec.by_word:  # at the first of a run of markers, and at the start of a text
@@ -181,27 +220,30 @@ class Codec:
         head[starts[starts < ends]] = True
         begin = np.flatnonzero(head)
         end = np.minimum(np.append(begin[1:], len(cp)), ends[np.searchsorted(starts, begin, "right") - 1])
-        word = self.cache.get(cp, begin, end)
+        word = self.cache.get(laid, cp, begin, end)
         n = self.size[word]
         total = np.append(0, np.cumsum(n))
         ids = self.pool[np.repeat(self.at[word] - total[:-1], n) + np.arange(total[-1])].astype("<u4")
         cut = np.searchsorted(begin, np.append(starts, len(cp)))
-        bad = np.append(0, np.cumsum(~self.back[word]))
-        bad = bad[cut[1:]] > bad[cut[:-1]]
-        edge, out = total[cut].tolist(), []
-        for k, theirs in enumerate(self.lib.encode(texts, num_threads=1)):
-            own = ids[edge[k] : edge[k + 1]]
-            parity = len(own) == len(theirs) and bool((own == np.array(theirs, np.uint32)).all())
-            out.append((own.tobytes(), parity, self._returns(texts[k], own) if bad[k] or self.lossy else MARK not in texts[k]))
-        return out
+        edge = total[cut]
 
-    @property
-    def lossy(self) -> bool:
-        """The normaliser may change more than blanks, so words that decode to themselves do not prove the text does."""
-        return bool(self.spec.charsmap) or self.spec.squeeze or not self.spec.by_word
+        def every(flag: np.ndarray) -> np.ndarray:
+            bad = np.append(0, np.cumsum(~flag[word]))[cut]
+            return bad[1:] == bad[:-1]
 
-    def _returns(self, text: str, ids: np.ndarray) -> bool:
-        return self.decode([ids.tolist()])[0] == text
+        out, back = [], every(self.back)
+        if self.lossy:
+            theirs = self.lib.encode(texts, num_threads=1)
+        else:
+            parity, theirs = every(self.parity), self.lib.normalize(texts)
+        for k, t in enumerate(theirs):
+            own = ids[edge[k] : edge[k + 1]]
+            if self.lossy:
+                same_ids, returns = own.tolist() == t, self.decode([own.tolist()])[0] == texts[k]
+            else:  # only blanks have changed, so a text comes back unless it has markers itself
+                same_ids, returns = bool(parity[k]) and t == normal[k], bool(back[k]) and MARK not in texts[k]
+            out.append((own.tobytes(), same_ids, returns))
+        return out
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.tok.decode_batch(ids, skip_special_tokens=False)

@@ -112,11 +112,11 @@ def count_texts(texts: list[str | None], path: str | None = None) -> np.ndarray:
     merges, cached = _state(path or default_path())
     out = np.zeros(len(texts), np.int64)
     for at, part in in_slices(texts):
-        cp, starts = lay(part, merges.special)
+        laid, cp, starts = lay(part, merges.special)
         begin, end, special = boundaries(cp)
         n = np.ones(len(begin), np.int64)
         plain = np.flatnonzero(~special)
-        n[plain] = cached.get(cp, begin[plain], end[plain])
+        n[plain] = cached.get(laid, cp, begin[plain], end[plain])
         total = np.append(0, np.cumsum(n))
         edge = np.searchsorted(begin, np.append(starts, len(cp)))
         out[at : at + len(part)] = total[edge[1:]] - total[edge[:-1]]
