@@ -84,3 +84,41 @@ def test_first_cells(spark):
     e = spark.createDataFrame([(0, 1, 1.0), (1, 0, 1.0)], "i bigint, j int, v double")
     assert readers.first_cells(e, 2, 2).count() == 1
     assert e.select(readers.fill_missing(F.array(F.lit("NA"), F.lit(" "), F.lit("3")), "0").alias("c")).first().c == ["0", "0", "3"]
+
+
+def test_declared_rows_and_odd_lines(spark, tmp_path):
+    (tmp_path / "m.csv").write_text("1,2\n\n3,4\n  \n5,6\n")
+    path = str(tmp_path / "m.csv")
+    assert [(r.i, r.vals) for r in readers.dense_csv(spark, path, 2, rows=3).orderBy("i").collect()] == [(0, [1, 2]), (1, [3, 4]), (2, [5, 6])]
+    for rows in (2, 4):
+        with pytest.raises(ValueError, match="declared"):
+            readers.dense_csv(spark, path, 2, rows=rows)
+    (tmp_path / "c.csv").write_text("(1+2j),(3-4j)\n(1+2j)\n")
+    with pytest.raises(Exception, match="cells in row"):
+        readers.complex_csv(spark, str(tmp_path / "c.csv"), 2).collect()
+    (tmp_path / "d.csv").write_text("(1+2j),3\n")
+    with pytest.raises(Exception, match="no complex number"):
+        readers.complex_csv(spark, str(tmp_path / "d.csv"), 2).collect()
+
+
+def test_lists_records_and_trimmed_blocks(spark, tmp_path):
+    np.arange(10_000, dtype="<i4").tofile(tmp_path / "s.int")
+    assert [(r.pos, r.sym) for r in readers.int_stream(spark, str(tmp_path / "s.int")).orderBy("pos").collect()] == [(i, i) for i in range(10_000)]
+    with pytest.raises(ValueError, match="whole number"):
+        readers.records(spark, str(tmp_path / "s.int"), 7)
+    syms = spark.createDataFrame([(i, 9 - i) for i in range(10)], "pos bigint, sym bigint")
+    sinks.write_list(syms, str(tmp_path / "list"))
+    assert sorted(map(tuple, readers.text_list(spark, str(tmp_path / "list")).collect())) == sorted(map(tuple, syms.collect()))
+    x = np.arange(20.0).reshape(5, 4)
+    d = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "i bigint, vals array<double>")
+    parts = sinks.binary_blocks(d, 4, 2, skip_rows=1, skip_left=1, skip_right=1).orderBy("block", "chunk").collect()
+    assert b"".join(bytes(p.data) for p in parts) == x[1:, 1:3].tobytes()
+
+
+def test_boolean_rows_without_ones_and_edge_counts(spark):
+    b = spark.createDataFrame([(0, 1), (2, 0)], "i bigint, j int")
+    assert [r.vals for r in readers.boolean_dense(b, 2, rows=4).orderBy("i").collect()] == [[0, 1], [0, 0], [1, 0], [0, 0]]
+    e = spark.createDataFrame([(0, 1), (0, 2), (0, 2)], "src bigint, dst bigint")
+    assert sorted(map(tuple, sinks.edge_counts(e).collect())) == [("col", 1, 1), ("col", 2, 1), ("row", 0, 2)]
+    sim = spark.createDataFrame([(0, 1, -3), (0, 2, 0), (1, 2, -1)], "c1 int, c2 int, w bigint")
+    assert sorted((r.c1, r.value) for r in sinks.similarity_lines(sim, 3).collect()) == [(0, "-3 0"), (1, "-1")]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftmat.plans.scratch import small
+
 #: Elements up to which a vector is sent to every executor.
 BROADCAST_ELEMENTS = 1_000_000
 #: Columns up to which iterations keep the vector on the driver and pass it as a literal.
@@ -38,8 +40,15 @@ def _fill(v: DataFrame, key: str, n: int) -> DataFrame:
 def right_multiply_codes(codes: DataFrame, values: DataFrame, x: DataFrame, cols: int) -> DataFrame:
     """(i, y) on dictionary codes (i, code): x is summed by (row, value) before values are looked up."""
     c = codes.select("i", F.pmod(F.col("code") - 1, F.lit(cols)).cast("int").alias("j"), F.expr(f"(code - 1) div {cols}").alias("val_id"))
-    part = c.join(F.broadcast(x), "j").groupBy("i", "val_id").agg(F.sum("x").alias("sx"))
-    return part.join(values, "val_id").groupBy("i").agg(F.sum(F.col("v") * F.col("sx")).alias("y"))
+    part = c.join(_vec(x, cols), "j").groupBy("i", "val_id").agg(F.sum("x").alias("sx"))
+    return part.join(small(values), "val_id").groupBy("i").agg(F.sum(F.col("v") * F.col("sx")).alias("y"))
+
+
+def left_multiply_codes(codes: DataFrame, values: DataFrame, y: DataFrame, cols: int, rows: int | None = None) -> DataFrame:
+    """(j, z) on dictionary codes (i, code): y is summed by code, of which there are few, before values are looked up."""
+    part = codes.join(_vec(y, rows), "i").groupBy("code").agg(F.sum("y").alias("sy"))
+    part = part.select(F.pmod(F.col("code") - 1, F.lit(cols)).cast("int").alias("j"), F.expr(f"(code - 1) div {cols}").alias("val_id"), "sy")
+    return part.join(small(values), "val_id").groupBy("j").agg(F.sum(F.col("v") * F.col("sy")).alias("z"))
 
 
 def dense_right(dense: DataFrame, x: list[float]) -> DataFrame:
@@ -53,9 +62,9 @@ def dense_left(dense: DataFrame, y: Column, cols: int) -> DataFrame:
     return dense.select(F.posexplode("vals").alias("j", "v"), y.alias("y")).groupBy("j").agg(F.sum(F.col("v") * F.col("y")).alias("z"))
 
 
-def complex_multiply(e: DataFrame, x: DataFrame) -> DataFrame:
-    """(i, re, im) for complex v and x, structs of re and im."""
-    p = e.join(F.broadcast(x), "j")
+def complex_multiply(e: DataFrame, x: DataFrame, cols: int | None = None) -> DataFrame:
+    """(i, re, im) for complex v and x, structs of re and im. cols is the known length of x."""
+    p = e.join(_vec(x, cols), "j")
     return p.groupBy("i").agg(F.sum(F.expr("v.re * x.re - v.im * x.im")).alias("re"), F.sum(F.expr("v.re * x.im + v.im * x.re")).alias("im"))
 
 
@@ -112,13 +121,16 @@ def gram_apply(dense: DataFrame, x: list[float]) -> list[float]:
     return [v or 0.0 for v in y.agg(*sums).first()]
 
 
-def power_iterate(dense: DataFrame, x: list[float], rounds: int) -> tuple[float, list[float]]:
-    """(lambda, z) after y = M x, z = M' y, x = z / max|z|, as many rounds; lambda is the norm of the round before the last, 0 for one."""
+def power_iterate(dense: DataFrame, x: list[float], rounds: int, signed: bool = False) -> tuple[float, list[float]]:
+    """(lambda, z) after y = M x, z = M' y, x = z / max|z|, as many rounds; lambda is the norm of the round before the last, 0 for one.
+
+    signed: the norm is the largest value, at least DBL_MIN, as in the programs for dense files.
+    """
     dense = dense.select("vals").persist() if rounds > 1 else dense
     try:
         lam, z = 0.0, gram_apply(dense, x)
         for _ in range(rounds - 1):
-            lam = max(abs(v) for v in z)
+            lam = max(DBL_MIN, *z) if signed else max(abs(v) for v in z)
             z = gram_apply(dense, [v / lam for v in z] if lam > 0 else z)
         return lam, z
     finally:

@@ -6,25 +6,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Rows that one task may number; more are cut into ranges of the leading order column.
-ROWS_A_BUCKET = 200_000
+from weftmat.plans.scratch import materialize, small
 
 
-def number_rows(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    """df plus name = 0, 1, ... in the order of the columns. The leading one must be numeric.
+def number_rows(df: DataFrame, order: list[str], name: str, keep: list[str] | None = None) -> DataFrame:
+    """df (or its columns keep) plus name = 0, 1, ... in the order of the columns, nulls first; a written table, so numbers are given once.
 
-    Instead of one global window, rows are dealt into ranges of the leading column; each range is numbered by itself
-    and shifted by the counts of the ranges before it.
+    Rows are dealt into ranges of all order columns, whose bounds Spark samples, so one frequent leading value does not gather in a
+    task; each range is sorted and numbered by itself and shifted by the counts of the ranges before it.
     """
-    lead = F.col(order[0])
-    lo, hi, n = df.agg(F.min(lead), F.max(lead), F.count(F.lit(1))).first()
-    ranges = min(65536, n // ROWS_A_BUCKET + 1)
-    if ranges == 1:
-        return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("bigint") - 1)
-    df = df.withColumn("__range", F.coalesce(F.floor((lead - F.lit(lo)) * ranges / (F.lit(hi) - F.lit(lo) + 1)).cast("int"), F.lit(-1)))  # nulls come first
-    before = df.groupBy("__range").count().withColumn("__before", F.coalesce(F.sum("count").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
-    at = F.row_number().over(Window.partitionBy("__range").orderBy(*order)).cast("bigint") - 1
-    return df.withColumn(name, at).join(F.broadcast(before), "__range").withColumn(name, F.col(name) + F.col("__before")).drop("__range", "__before")
+    at = F.monotonically_increasing_id()  # range << 33 | place in it
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).select(*(keep or df.columns), at.alias("__at"))
+    dealt = materialize(dealt, "numbered", compression="lz4")
+    parts = dealt.groupBy(F.shiftright("__at", 33).alias("__range")).agg(F.count(F.lit(1)).alias("n"), F.min("__at").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a range
+    parts = parts.select("__range", (before - F.col("first")).alias("__shift"))
+    joined = dealt.withColumn("__range", F.shiftright("__at", 33)).join(F.broadcast(parts), "__range")
+    return joined.withColumn(name, F.col("__at") + F.col("__shift")).drop("__range", "__at", "__shift")
 
 
 def entries(dense: DataFrame, columns: list[str | Column], row_id: str = "i") -> DataFrame:
@@ -39,25 +37,36 @@ def cells(dense: DataFrame, columns: list[str | Column], row_id: str = "i") -> D
 
 
 def dictionary(e: DataFrame, cols: int) -> DataFrame:
-    """(v, val_id): distinct values in order of their first appearance, row by row."""
+    """(v, val_id): distinct values in order of their first appearance, row by row; a written table, so e is read once for it."""
     first = e.groupBy("v").agg(F.min(F.col("i") * cols + F.col("j")).alias("__pos"))
-    return number_rows(first, ["__pos"], "val_id").select("v", "val_id")
+    return number_rows(first, ["__pos"], "val_id", ["v"])
 
 
 def csrv(e: DataFrame, values: DataFrame, cols: int) -> DataFrame:
-    """(i, j, code) with code = val_id * cols + j + 1."""
-    return e.join(values, "v").select("i", "j", (F.col("val_id") * cols + F.col("j") + 1).alias("code"))
+    """(i, j, code) with code = val_id * cols + j + 1. A counted, small dictionary is broadcast, so frequent values do not gather in a task."""
+    return e.join(small(values), "v").select("i", "j", (F.col("val_id") * cols + F.col("j") + 1).alias("code"))
 
 
 def csrv_decode(codes: DataFrame, values: DataFrame, cols: int) -> DataFrame:
     """(i, j, v) from (i, code)."""
     back = codes.select("i", F.pmod(F.col("code") - 1, F.lit(cols)).cast("int").alias("j"), F.expr(f"(code - 1) div {cols}").alias("val_id"))
-    return back.join(values, "val_id").select("i", "j", "v")
+    return back.join(small(values), "val_id").select("i", "j", "v")
 
 
 def drv(all_cells: DataFrame, cols: int) -> DataFrame:
     """(i, j, code) with code = val_id + 1 for every cell, zeros included."""
-    return all_cells.join(dictionary(all_cells, cols), "v").select("i", "j", (F.col("val_id") + 1).alias("code"))
+    return all_cells.join(small(dictionary(all_cells, cols)), "v").select("i", "j", (F.col("val_id") + 1).alias("code"))
+
+
+def bad_codes(codes: DataFrame, values: int, cols: int) -> DataFrame:
+    """The codes that stand for no value or column: below 1 or with a val_id beyond the dictionary."""
+    return codes.filter(F.col("code").isNull() | (F.col("code") < 1) | (F.col("code") > values * cols))
+
+
+def checked_codes(codes: DataFrame, values: int, cols: int) -> DataFrame:
+    """codes; reading one that bad_codes would find fails."""
+    bad = F.col("code").isNull() | (F.col("code") < 1) | (F.col("code") > values * cols)
+    return codes.withColumn("code", F.when(bad, F.raise_error(F.lit("code out of range"))).otherwise(F.col("code")))
 
 
 def block_of(rows: int, blocks: int, row: str = "i") -> Column:

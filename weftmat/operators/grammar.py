@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftmat.plans.scratch import materialize
+
 RULES = "block bigint, nt bigint, left bigint, right bigint, level int"
 CSEQ = "block bigint, i bigint, pos bigint, sym bigint"
 
@@ -118,7 +120,7 @@ def levels(rules: list[tuple[int, int]], first_nt: int) -> list[int]:
 
 
 def compress(seqs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rules, cseq) from (block, i, seq). Blocks, which bound a task, are the caller's choice; save the result before using both parts."""
+    """(rules, cseq) from (block, i, seq), both from one written table, so each block is compressed once. Blocks, which bound a task, are the caller's choice."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("i")
@@ -130,7 +132,8 @@ def compress(seqs: DataFrame) -> tuple[DataFrame, DataFrame]:
         c = pd.DataFrame([(block, 1, i, k, s, 0) for i, row in zip(pdf["i"], out, strict=True) for k, s in enumerate(row)], columns=["block", "kind", "x", "y", "z", "level"])
         return pd.concat([r, c]).astype("int64")
 
-    both = seqs.select("block", "i", "seq").groupBy("block").applyInPandas(run, "block bigint, kind bigint, x bigint, y bigint, z bigint, level bigint")
+    both = seqs.select(F.col("block").cast("bigint"), "i", "seq").groupBy("block").applyInPandas(run, "block bigint, kind bigint, x bigint, y bigint, z bigint, level bigint")
+    both = materialize(both, "grammar")
     rules = both.filter("kind = 0").select("block", F.col("x").alias("nt"), F.col("y").alias("left"), F.col("z").alias("right"), F.col("level").cast("int"))
     return rules, both.filter("kind = 1").select("block", F.col("x").alias("i"), F.col("y").alias("pos"), F.col("z").alias("sym"))
 
@@ -156,40 +159,37 @@ def expand(rules: DataFrame, cseq: DataFrame) -> DataFrame:
 
 
 def right_multiply(rules: DataFrame, cseq: DataFrame, weights: DataFrame) -> DataFrame:
-    """(i, y) where weights is (sym, w): the product of each terminal's value and vector element.
+    """(i, y) where weights is (sym, w): the product of each terminal's value and vector element; rows without symbols are left out.
 
-    Rules are valued level by level, so a shared rule is evaluated once; no block is expanded.
+    A block's rules, symbols and the weights of its own terminals meet in one task, whatever the depth of the rules: they are
+    valued once each, a level at a time in arrays; no block is expanded and no vector has to fit a task.
     """
-    val = weights.select(F.col("sym"), F.col("w"))
-    named = rules.select("block", "nt", "left", "right", "level")
-    top = named.agg(F.max("level")).first()[0] or 0
-    done = None  # (block, sym, w) of rules valued so far
-
-    def look(df: DataFrame, col: str, out: str) -> DataFrame:
-        df = df.join(val.select(F.col("sym").alias(col), F.col("w").alias(f"{out}_t")), col, "left")
-        if done is not None:
-            df = df.join(done.select("block", F.col("sym").alias(col), F.col("w").alias(f"{out}_n")), ["block", col], "left")
-            return df.withColumn(out, F.coalesce(f"{out}_n", f"{out}_t")).drop(f"{out}_n", f"{out}_t")
-        return df.withColumnRenamed(f"{out}_t", out)
-
-    for level in range(1, top + 1):
-        now = look(look(named.filter(F.col("level") == level), "left", "lw"), "right", "rw")
-        now = now.select("block", F.col("nt").alias("sym"), (F.col("lw") + F.col("rw")).alias("w"))
-        done = now if done is None else done.unionByName(now)
-    return look(cseq, "sym", "w").groupBy("i").agg(F.sum("w").alias("y"))
-
-
-def block_products(rules: DataFrame, cseq: DataFrame, weights: dict[int, float]) -> DataFrame:
-    """(i, y) as right_multiply, one task a block: weights has the terminals' products and must fit a task."""
+    kind = weights.schema["w"].dataType.simpleString()
+    dtype = np.int64 if kind in ("bigint", "int") else np.float64
+    out_kind = "bigint" if dtype is np.int64 else "double"
+    used = rules.select("block", F.explode(F.array("left", "right")).alias("sym")).union(cseq.select("block", "sym")).distinct()
+    w = used.join(weights.select("sym", F.col("w").cast(out_kind).alias("w")), "sym")
+    none = F.lit(None).cast(out_kind)
+    each = (
+        rules.select("block", F.lit(0).alias("kind"), F.col("nt").alias("x"), F.col("left").alias("y"), F.col("right").alias("z"), F.col("level").cast("bigint").alias("level"), none.alias("w"))
+        .union(cseq.select("block", F.lit(1), "i", "sym", F.lit(0).cast("bigint"), F.lit(0).cast("bigint"), none))
+        .union(w.select("block", F.lit(2), "sym", F.lit(0).cast("bigint"), F.lit(0).cast("bigint"), F.lit(0).cast("bigint"), "w"))
+    )
 
-    def run(r: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        val = dict(weights)
-        for nt, a, b in r.sort_values("nt")[["nt", "left", "right"]].itertuples(index=False):
-            val[nt] = val[a] + val[b]
-        c = c.assign(y=[val[s] for s in c["sym"]])
-        return c.groupby("i", as_index=False)["y"].sum()
-
-    return _by_block(rules, cseq, run, "i bigint, y double")
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        r, c, t = (pdf[pdf["kind"] == k] for k in range(3))
+        names = np.sort(np.concatenate([t["x"].to_numpy(np.int64), r["x"].to_numpy(np.int64)]))
+        place = lambda x: np.searchsorted(names, x.to_numpy(np.int64))
+        val = np.zeros(len(names), dtype)
+        val[place(t["x"])] = t["w"].to_numpy(dtype)
+        for _, g in r.groupby("level"):
+            val[place(g["x"])] = val[place(g["y"])] + val[place(g["z"])]
+        rows, which = np.unique(c["x"].to_numpy(np.int64), return_inverse=True)
+        y = np.zeros(len(rows), dtype)
+        np.add.at(y, which, val[place(c["y"])])
+        return pd.DataFrame({"i": rows, "y": y})
+
+    return each.groupBy("block").applyInPandas(run, f"i bigint, y {out_kind}")
 
 
 def symbol_masses(rules: DataFrame, cseq: DataFrame, y: DataFrame) -> DataFrame:

@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weftmat.operators.encode import number_rows
+from weftmat.plans.scratch import small
+
+
+#: Ranks whose gaps one task adds up.
+RANKS_A_TASK = 100_000
 
 
 def code_freq(codes: DataFrame) -> DataFrame:
@@ -35,7 +40,7 @@ def bigram_freq(seqs: DataFrame) -> DataFrame:
 
 def allpair_freq(codes: DataFrame, top: DataFrame) -> DataFrame:
     """Frequency of ordered pairs of top codes inside a row. Rows hold at most `cols` codes, so a row's pairs are bounded."""
-    seqs = codes.join(F.broadcast(top.select("code")), "code", "left_semi").groupBy("i").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "code"))), lambda x: x["code"]).alias("seq"))
+    seqs = codes.join(small(top.select("code")), "code", "left_semi").groupBy("i").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "code"))), lambda x: x["code"]).alias("seq"))
     pairs = F.expr("flatten(transform(seq, (a, k) -> transform(slice(seq, k + 2, size(seq)), b -> struct(a, b))))")
     return seqs.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("freq"))
 
@@ -72,8 +77,30 @@ def alphabet_gaps(alpha: DataFrame) -> DataFrame:
     return alpha.join(before, "rank", "left").select("rank", (F.col("code") - F.coalesce("last", F.lit(0))).alias("gap"))
 
 
+def alphabet_from_gaps(gaps: DataFrame) -> DataFrame:
+    """(rank, code) from (rank, gap): running sums in ranges of ranks, each shifted by the sum of those before it."""
+    w = Window.partitionBy("part").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    at = gaps.withColumn("part", F.expr(f"rank div {RANKS_A_TASK}"))
+    sums = at.groupBy("part").agg(F.sum("gap").alias("s"))
+    before = F.coalesce(F.sum("s").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for RANKS_A_TASK ranks
+    shift = sums.select("part", before.alias("shift"))
+    return at.withColumn("own", F.sum("gap").over(w)).join(shift, "part").select("rank", (F.col("own") + F.col("shift")).alias("code"))
+
+
 def to_ranks(codes: DataFrame, alpha: DataFrame) -> DataFrame:
-    return codes.join(alpha, "code").drop("code").withColumnRenamed("rank", "code")
+    """The column code of a table replaced by its rank in the alphabet."""
+    return codes.join(small(alpha), "code").drop("code").withColumnRenamed("rank", "code")
+
+
+def from_ranks(ranks: DataFrame, alpha: DataFrame) -> DataFrame:
+    """The ranks in column code replaced by the codes they stand for."""
+    return ranks.withColumnRenamed("code", "rank").join(small(alpha), "rank").drop("rank")
+
+
+def locate(seqs: DataFrame, wanted: list[int]) -> DataFrame:
+    """(code, i, pos) of every occurrence of the wanted codes."""
+    at = seqs.select("i", F.posexplode("seq").alias("pos", "code"))
+    return at.filter(F.col("code").isin(wanted)).select("code", "i", "pos")
 
 
 def ole_encode(seqs: DataFrame) -> DataFrame:

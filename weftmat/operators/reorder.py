@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+import math
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
@@ -73,20 +75,41 @@ def _paths(pairs: Iterable[tuple[int, int]], cols: int) -> list[int]:
 
 
 def path_cover_contract(pairs: Iterable[tuple[int, int, float]], cols: int) -> list[int]:
-    """Path cover by contraction: the most similar pair of path ends becomes one path, whose similarity to other paths is that of its ends."""
+    """Path cover by contraction with updated weights.
+
+    Two paths are as similar as their most similar columns, inner ones too, so the paths that belong together most are joined first, by
+    the best of their end columns. After a join the new path's similarity to every other is the better of the two it
+    came from. Pairs of paths without a known pair of ends are never joined.
+    """
+    w = {(min(a, b), max(a, b)): x for a, b, x in pairs if a != b}
     paths = {c: [c] for c in range(cols)}
-    sim = {(min(a, b), max(a, b)): w for a, b, w in pairs}
-    while True:
-        end = {p[k]: q for q, p in paths.items() for k in (0, -1)}
-        best = min(((w, a, b) for (a, b), w in sim.items() if a in end and b in end and end[a] != end[b]), default=None)
-        if best is None:
-            break
-        _, a, b = best
-        p, q = paths.pop(end[a]), paths.pop(end[b])
-        p = p if p[-1] == a else p[::-1]
-        q = q if q[0] == b else q[::-1]
-        paths[min(p + q)] = p + q
-    return [c for k in sorted(paths) for c in paths[k]]
+    near: dict[int, dict[int, float]] = {c: {} for c in range(cols)}
+    for (a, b), x in w.items():
+        near[a][b] = near[b][a] = x
+    heap = [(x, a, b) for (a, b), x in w.items()]
+    heapq.heapify(heap)
+    while heap:
+        x, p, q = heapq.heappop(heap)
+        if p not in paths or q not in paths or near[p].get(q) != x:
+            continue
+        ends = {(i, j): w.get((min(paths[p][i], paths[q][j]), max(paths[p][i], paths[q][j]))) for i in (0, -1) for j in (0, -1)}
+        known = [(v, paths[p][i], paths[q][j], i, j) for (i, j), v in ends.items() if v is not None]
+        if not known:
+            continue
+        _, _, _, i, j = min(known)
+        head = paths[p] if i == -1 else paths[p][::-1]
+        tail = paths[q] if j == 0 else paths[q][::-1]
+        keep, gone = min(p, q), max(p, q)
+        paths[keep] = head + tail
+        del paths[gone]
+        merged = {r: min(near[p].get(r, math.inf), near[q].get(r, math.inf)) for r in {*near[p], *near[q]} - {p, q}}
+        for r in near.pop(gone):
+            near[r].pop(gone, None)
+        near[keep] = merged
+        for r, v in merged.items():
+            near[r][keep] = v
+            heapq.heappush(heap, (v, min(keep, r), max(keep, r)))
+    return [c for k in sorted(paths, key=lambda k: min(paths[k])) for c in paths[k]]
 
 
 def matching_order(pairs: Iterable[tuple[int, int, float]], cols: int) -> list[int]:

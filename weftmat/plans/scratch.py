@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Largest table, in bytes as counted before planning, that is sent to every executor.
+BROADCAST_BYTES = 16 << 20
 
 #: Rows of a file of a table whose size is known to be small.
 ROWS_A_FILE = 50_000
@@ -30,7 +34,12 @@ def materialize(df: DataFrame, name: str, rows: int | None = None, **options: st
     path = f"{scratch_dir(spark)}/{name}"
     if rows is not None:
         df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, -(-rows // ROWS_A_FILE)))
-    df.write.options(compression="zstd", **options).parquet(path)
+    df.write.options(**{"compression": "zstd"} | options).parquet(path)
     p = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
     p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, row_bytes: int = 32) -> DataFrame:
+    """df marked for broadcasting if its rows are counted and few enough; otherwise the join is left to Spark. For tables that are written or bounded."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
