@@ -67,6 +67,93 @@ def test_similarity(tiny):
         assert sorted(tiny.order(method)) == list(range(6))
 
 
+def naive_contract(pairs, cols):
+    """Path cover by contraction, everything computed anew from the members in each step."""
+    w = {frozenset((a, b)): x for a, b, x in pairs}
+    paths = [[c] for c in range(cols)]
+    while True:
+        best = None
+        for i, p in enumerate(paths):
+            for j, q in enumerate(paths):
+                if i < j:
+                    ends = [(w[frozenset((a, b))], a, b) for a in (p[0], p[-1]) for b in (q[0], q[-1]) if frozenset((a, b)) in w]
+                    if ends:
+                        near = min(w.get(frozenset((a, b)), 1e9) for a in p for b in q)
+                        best = min(best or (1e18,), (near, min(p), min(q), *min(ends), i, j))
+        if best is None:
+            return {frozenset(e) for p in paths for e in zip(p, p[1:], strict=False)}
+        _, _, _, _, a, b, i, j = best
+        p, q = paths[i], paths[j]
+        paths = [x for k, x in enumerate(paths) if k not in (i, j)] + [(p if p[-1] == a else p[::-1]) + (q if q[0] == b else q[::-1])]
+        paths.sort(key=min)
+
+
+def test_contraction_updates_weights():
+    rng = np.random.default_rng(2)
+    differ = 0
+    for _ in range(200):
+        cols = int(rng.integers(2, 9))
+        weights = rng.permutation(cols * cols)
+        pairs = [(a, b, -int(weights[a * cols + b])) for a in range(cols) for b in range(a + 1, cols) if rng.random() < 0.9]
+        order = reorder.path_cover_contract(pairs, cols)
+        assert sorted(order) == list(range(cols))
+        want = naive_contract(pairs, cols)
+        got = {frozenset(e) for e in zip(order, order[1:], strict=False)}
+        assert want <= got
+        plain = reorder.path_cover(pairs, cols)
+        differ += not want <= {frozenset(e) for e in zip(plain, plain[1:], strict=False)}
+    assert differ > 20  # it is not the plain cover
+
+
+def test_matching_weight_is_the_largest():
+    from itertools import product
+
+    rng = np.random.default_rng(3)
+    for _ in range(100):
+        cols = int(rng.integers(2, 6))
+        pairs = [(a, b, -int(rng.integers(0, 3000))) for a in range(cols) for b in range(a + 1, cols)]
+        gain = {(a, b): -w // 256 + 1 for a, b, w in pairs if w < 0}
+        best = max(sum(gain[a, b] for a, b in enumerate(pick) if b is not None) for pick in product([None, *range(cols)], repeat=cols) if all(b is None or (a, b) in gain for a, b in enumerate(pick)) and len([b for b in pick if b is not None]) == len({b for b in pick if b is not None}))
+        assert reorder.matching_weight(pairs, reorder.matching(pairs, cols)) == best
+
+
+def test_orders_and_sizes_by_block(spark, tiny):
+    codes = tiny.encode()[1]
+    sim = reorder.csm_blocks(tiny.entries, "i div 4")
+    orders = reorder.order_blocks(sim, 6)
+    assert {r.block: sorted(x.col for x in orders.filter(F.col("block") == r.block).collect()) for r in sim.select("block").distinct().collect()} == {0: list(range(6)), 1: list(range(6))}
+    table = reorder.retest(codes, 6, "i div 4", sim).collect()
+    assert {(r.method, r.block) for r in table} == {(m, b) for m in ("none", "pathcover", "contract", "matching") for b in (0, 1)}
+    assert all(r.n_symbols >= 1 and r.est_bytes >= 1 for r in table)
+    size = {r.encoding: r for r in tiny.sizes(2).collect()}
+    nnz = codes.count()
+    assert size["codes"].bytes == 4 * 8 + 4 * (nnz + 8) and set(size) == {"codes", "codes_iv", "grammar", "grammar_iv", "grammar_ans"}
+    assert size["codes_iv"].bytes == 4 * 8 + -(-(nnz + 8) * 5 // 8) and size["grammar_iv"].bytes > 32
+
+
+def test_hybrid_and_stored(spark, tiny, tmp_path):
+    from weftmat.operators import hybrid
+    from weftmat.sources import stored
+
+    x = spark.range(6).select(F.col("id").cast("int").alias("j"), F.lit(1.0).alias("x"))
+    rules, cseq, b = tiny.hybrid(2)
+    values = tiny.dictionary()
+    y = hybrid.right_multiply(rules, cseq, b, values, x, 6)
+    assert np.allclose(by(y, "i", "y"), [19.4, 22.0, 24.7, 14.7, 11.3, 22.7, 16.8, 16.7])
+    z = hybrid.left_multiply(rules, cseq, b, values, y, 6)
+    assert np.allclose(by(z, "j", "z"), [546.73, 61.29, 826.41, 250.83, 537.51, 667.88])
+    rules, cseq = tiny.compress(3)
+    for codec in ("iv", "ans", "rans", "bytes"):
+        stored.store_coded(rules, cseq, str(tmp_path / codec), codec)
+        back = stored.load_coded(spark, str(tmp_path / codec), codec)
+        assert [sorted(map(tuple, t.collect())) for t in back] == [sorted(map(tuple, t.collect())) for t in (rules, cseq)]
+    stored.store_grammar(rules, cseq, str(tmp_path / "g"))
+    one = stored.load_grammar(spark, str(tmp_path / "g"), [1])
+    assert sorted(map(tuple, one[1].collect())) == sorted(map(tuple, cseq.filter("block = 1").collect()))
+    with pytest.raises(Exception, match="out of range"):
+        encode.checked_codes(tiny.encode()[1], 3, 6).collect()
+
+
 def test_matching_is_maximal():
     pairs = [(0, 1, -2560), (0, 2, -2500), (1, 2, -256), (1, 3, -10)]
     order = reorder.matching_order(pairs, 4)

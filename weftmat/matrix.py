@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftmat.operators import algebra, encode, grammar, layout, reorder
+from weftmat.operators import algebra, encode, grammar, hybrid, layout, reorder, report
 
 
 @dataclass(frozen=True)
@@ -71,7 +71,16 @@ class CompressedMatrix:
         if self.cols > algebra.DRIVER_COLUMNS:
             raise ValueError("too many columns for an order on the driver")
         pairs = [(r.c1, r.c2, r.w) for r in sim.collect()]
-        return {"pathcover": reorder.path_cover, "contract": reorder.path_cover_contract, "matching": reorder.matching_order}[method](pairs, self.cols)
+        return reorder.METHODS[method](pairs, self.cols)
 
     def report(self) -> DataFrame:
         return encode.stats(self.entries, self.rows, self.cols)
+
+    def sizes(self, blocks: int = 1) -> DataFrame:
+        """Bytes of the matrix in every encoding."""
+        values, codes = self.encode()
+        return report.sizes(values, codes, self.rows, self.cols, *self.compress(blocks))
+
+    def hybrid(self, blocks: int = 1, threshold: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(rules, cseq, b): part A as a grammar by row block, part B as codes; see operators.hybrid for products."""
+        return hybrid.compress_split(self.split(threshold), f"i div {-(-self.rows // blocks)}")

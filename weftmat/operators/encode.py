@@ -85,3 +85,8 @@ def stats(e: DataFrame, rows: int, cols: int) -> DataFrame:
     s = e.agg(F.count(F.lit(1)).alias("nnz"), F.count_distinct("v").alias("n_distinct"))
     top = F.col("n_distinct") * cols
     return s.select("nnz", "n_distinct", (F.col("nnz") / F.lit(rows * cols)).alias("density"), top.alias("max_code"), F.length(F.bin(top)).cast("bigint").alias("code_bits"))
+
+
+def token_hash(token: Column) -> Column:
+    """32 bits of a token's digest, for cells that are no numbers; the token 0 stays 0, so that zeros stay zeros."""
+    return F.when(F.trim(token) == "0", F.lit(0).cast("bigint")).otherwise(F.conv(F.substring(F.sha2(token, 256), 1, 8), 16, 10).cast("bigint"))

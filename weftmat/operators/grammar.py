@@ -213,6 +213,33 @@ def symbol_masses(rules: DataFrame, cseq: DataFrame, y: DataFrame) -> DataFrame:
     return _by_block(rules, start, run, f"sym bigint, mass {kind}").groupBy("sym").agg(F.sum("mass").alias("mass"))
 
 
+def code_points(df: DataFrame, text: str) -> DataFrame:
+    """df plus pos, sym: the code point of every character of a text column."""
+    return df.select("*", F.posexplode(F.split(text, "")).alias("pos", "c")).withColumn("sym", F.ascii("c")).drop("c")
+
+
+def code_point_seqs(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(block, i, seq) for compress(): each text one row and block of its own, code points plus one, so 0 stays free."""
+    return df.select(F.col(key).alias("block"), F.lit(0).cast("bigint").alias("i"), F.transform(F.split(text, ""), lambda c: (F.ascii(c) + 1).cast("bigint")).alias("seq"))
+
+
+def expand_texts(rules: DataFrame, cseq: DataFrame) -> DataFrame:
+    """(block, text) of grammars over code_point_seqs()."""
+
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"block": pdf["block"], "text": ["".join(chr(x - 1) for x in s) for s in pdf["seq"]]})
+
+    return expand(rules, cseq).select("block", "seq").mapInPandas(run, "block bigint, text string")
+
+
+def expanded_lengths(rules: DataFrame, cseq: DataFrame) -> DataFrame:
+    """(block, length): the number of terminals that a block's sequences stand for."""
+    ones = rules.select("block", F.explode(F.array("left", "right")).alias("sym")).union(cseq.select("block", "sym")).select("sym").distinct().withColumn("w", F.lit(1).cast("bigint"))
+    rows = right_multiply(rules, cseq, ones)
+    return cseq.select("block", "i").distinct().join(rows, "i").groupBy("block").agg(F.sum("y").alias("length"))
+
+
 def grammar_stats(rules: DataFrame, cseq: DataFrame) -> DataFrame:
     """block, n_rules, n_symbols, depth and the estimated bytes ((2R + (R + C) * log) / 8 + 1)."""
     r = rules.groupBy("block").agg(F.count(F.lit(1)).alias("n_rules"), F.max("level").alias("depth"), F.max("nt").alias("top"))

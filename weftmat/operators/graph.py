@@ -27,12 +27,12 @@ def edge_stats(edges: DataFrame) -> DataFrame:
     return edges.agg(F.min(F.array_min(ends)).alias("min_node"), F.max(F.array_max(ends)).alias("max_node"), F.count(F.lit(1)).alias("arcs"), F.count_if(F.expr("src = dst")).alias("self_loops"))
 
 
-def pagerank(edges: DataFrame, nodes: int, rounds: int = 100, damping: float = 0.9, eps: float = -1.0, save=None) -> DataFrame:
+def pagerank(edges: DataFrame, nodes: int, rounds: int = 100, damping: float = 0.9, eps: float = -1.0, save=None, moves: list[float] | None = None) -> DataFrame:
     """(node, rank) for nodes 0 .. nodes - 1 and distinct edges.
 
     Each round spreads d * rank / outdegree along edges, and d * the dangling nodes' mass + 1 - d evenly. It stops after
     rounds, or once the ranks move by less than eps in sum. save(df, round) writes a table to a shared folder
-    and reads it back; with it a long loop keeps a short lineage.
+    and reads it back; with it a long loop keeps a short lineage. moves, if given with eps, receives each round's movement.
     """
     spark = edges.sparkSession
     deg = degrees(edges).withColumnRenamed("degree", "out")
@@ -49,6 +49,8 @@ def pagerank(edges: DataFrame, nodes: int, rounds: int = 100, damping: float = 0
         if eps >= 0:
             moved = new.select("node", F.col("rank").alias("r1")).join(state.select("node", "rank"), "node").agg(F.sum(F.abs(F.col("r1") - F.col("rank")))).first()[0]
             state = new
+            if moves is not None:
+                moves.append(moved)
             if moved < eps:
                 break
         state = new
@@ -57,3 +59,10 @@ def pagerank(edges: DataFrame, nodes: int, rounds: int = 100, damping: float = 0
 
 def topk(ranks: DataFrame, k: int = 3) -> DataFrame:
     return ranks.orderBy(F.desc("rank"), "node").limit(k)
+
+
+def summary(edges: DataFrame, nodes: int, ranks: DataFrame) -> DataFrame:
+    """nodes, dangling (nodes without outgoing edges), arcs, rank_sum."""
+    deg = degrees(edges)
+    every = edges.sparkSession.range(nodes).select(F.col("id").alias("node")).join(deg, "node", "left").join(ranks.select("node", "rank"), "node", "left")
+    return every.agg(F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("degree").isNull()).alias("dangling"), F.sum("degree").alias("arcs"), F.sum("rank").alias("rank_sum"))

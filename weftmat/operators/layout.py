@@ -120,3 +120,9 @@ def rows_from_terminators(symbols: DataFrame) -> DataFrame:
     """(block, pos, sym) with 0 after each row, as in an imported file, to (block, row, pos, sym); ordered inside each block."""
     w = Window.partitionBy("block").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     return symbols.withColumn("row", F.coalesce(F.sum((F.col("sym") == 0).cast("bigint")).over(w), F.lit(0))).filter("sym <> 0")
+
+
+def compact(df: DataFrame, col: str, name: str) -> DataFrame:
+    """df plus name: the rank of the column's value among its distinct values, from 0. Any number of values."""
+    ranks = number_rows(df.select(col).filter(F.col(col).isNotNull()).distinct(), [col], name)
+    return df.join(small(ranks), col)

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from weftmat.operators import layout
+
 
 def csm(e: DataFrame, cols: int) -> DataFrame:
     """(c1, c2, w) for all c1 < c2: w = distinct value pairs less rows where both cells are nonzero, at most 0.
@@ -26,6 +28,59 @@ def csm(e: DataFrame, cols: int) -> DataFrame:
     return every.join(w, ["c1", "c2"], "left").withColumn("w", F.coalesce("w", F.lit(0)))
 
 
+def csm_blocks(e: DataFrame, block: str) -> DataFrame:
+    """(block, c1, c2, w) of the pairs that share a row, with the similarity of each row block by itself; block is an expression over i."""
+    rows = e.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("j", "v"))).alias("c"))
+    pairs = F.expr("flatten(transform(c, (a, k) -> transform(slice(c, k + 2, size(c)), b -> struct(a.j AS c1, b.j AS c2, a.v AS v1, b.v AS v2))))")
+    each = rows.select(F.expr(block).alias("block"), F.explode(pairs).alias("p")).select("block", "p.*").groupBy("block", "c1", "c2", "v1", "v2").agg(F.count(F.lit(1)).alias("n"))
+    return each.groupBy("block", "c1", "c2").agg((F.count(F.lit(1)) - F.sum("n")).alias("w"))
+
+
+def order_blocks(sim: DataFrame, cols: int, method: str = "pathcover") -> DataFrame:
+    """(block, pos, col): an order of the columns for each row block, one bounded task a block."""
+    import pandas as pd
+
+    solve = METHODS[method]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        order = solve(list(zip(pdf["c1"], pdf["c2"], pdf["w"], strict=True)), cols)
+        return pd.DataFrame({"block": pdf["block"].iloc[0], "pos": range(cols), "col": order})
+
+    return sim.groupBy("block").applyInPandas(run, "block bigint, pos int, col int")
+
+
+def apply_block_orders(codes: DataFrame, orders: DataFrame) -> DataFrame:
+    """(block, i, pos, code) from (block, i, j, code): each block's rows in its own order."""
+    at = codes.join(orders.select("block", F.col("col").alias("j"), F.col("pos").alias("__p")), ["block", "j"])
+    return at.select("block", "i", (F.row_number().over(Window.partitionBy("i").orderBy("__p")) - 1).alias("pos"), "code")
+
+
+def frequent_order(codes: DataFrame, cols: int, k: int) -> list[int]:
+    """The converter's column order: from how often the k most frequent codes of each column share a row."""
+    freq = layout.column_pair_freq(layout.allpair_freq(codes, layout.topk_codes_per_column(codes, k)), cols)
+    return path_cover_frequent([(r.c1, r.c2, r.freq) for r in freq.collect()], cols)  # at most cols * cols rows
+
+
+def reordered_sequences(codes: DataFrame, order: list[int]) -> DataFrame:
+    """(i, seq): each row's codes in the given column order."""
+    at = apply_permutation(codes, order)
+    return at.groupBy("i").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "code"))), lambda x: x["code"]).alias("seq"))
+
+
+def retest(codes: DataFrame, cols: int, block: str, sim: DataFrame, methods: tuple[str, ...] = ("pathcover", "contract", "matching")) -> DataFrame:
+    """(method, block, n_rules, n_symbols, est_bytes): grammar sizes of each block in its own order by each method, and in the given one."""
+    from weftmat.operators import grammar
+
+    codes = codes.withColumn("block", F.expr(block).cast("bigint"))
+    out = None
+    for m in ("none", *methods):
+        at = codes.withColumn("pos", F.col("j")) if m == "none" else apply_block_orders(codes, order_blocks(sim, cols, m))
+        seqs = at.groupBy("block", "i").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "code"))), lambda x: x["code"]).alias("seq"))
+        got = grammar.grammar_stats(*grammar.compress(seqs)).select(F.lit(m).alias("method"), "block", "n_rules", "n_symbols", "est_bytes")
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
 def prune_local(sim: DataFrame, k: int) -> DataFrame:
     """Pairs among the k most similar of either column."""
     both = sim.select(F.col("c1").alias("c"), "c1", "c2", "w").union(sim.select(F.col("c2").alias("c"), "c1", "c2", "w"))
@@ -112,13 +167,32 @@ def path_cover_contract(pairs: Iterable[tuple[int, int, float]], cols: int) -> l
     return [c for k in sorted(paths, key=lambda k: min(paths[k])) for c in paths[k]]
 
 
+def _gain(w: float) -> int:
+    return int(-w) // 256 + 1
+
+
+def matching_weight(pairs: Iterable[tuple[int, int, float]], after: dict[int, int]) -> int:
+    return sum(_gain(w) for a, b, w in pairs if after.get(min(a, b)) == max(a, b))
+
+
 def matching_order(pairs: Iterable[tuple[int, int, float]], cols: int) -> list[int]:
-    """Chains of a maximum-weight matching of columns to successors c1 < c2, by ascending start.
+    """Chains of a maximum-weight matching of columns to successors, by ascending start."""
+    after = matching(pairs, cols)
+    starts, out = set(range(cols)) - set(after.values()), []
+    for c in sorted(starts):
+        while c is not None:
+            out.append(c)
+            c = after.get(c)
+    return out
+
+
+def matching(pairs: Iterable[tuple[int, int, float]], cols: int) -> dict[int, int]:
+    """Column to successor, c1 < c2: a matching of maximum weight.
 
     Successive shortest augmenting paths on the bipartite graph of predecessors and successors; each augmentation
     raises the total weight, and it ends when none does.
     """
-    weight = {(min(a, b), max(a, b)): int(-w) // 256 + 1 for a, b, w in pairs if w < 0}
+    weight = {(min(a, b), max(a, b)): _gain(w) for a, b, w in pairs if w < 0}
     after: dict[int, int] = {}
     before: dict[int, int] = {}
     while True:
@@ -146,13 +220,7 @@ def matching_order(pairs: Iterable[tuple[int, int, float]], cols: int) -> list[i
             b_next = after.get(a)
             after[a], before[b] = b, a
             b = b_next
-    out = []
-    for c in range(cols):
-        if c not in before:
-            while c is not None:
-                out.append(c)
-                c = after.get(c)
-    return out
+    return after
 
 
 def apply_permutation(e: DataFrame, order: list[int], code: str = "code") -> DataFrame:
@@ -160,3 +228,7 @@ def apply_permutation(e: DataFrame, order: list[int], code: str = "code") -> Dat
     perm = F.map_from_arrays(F.array(*map(F.lit, order)), F.array(*map(F.lit, range(len(order)))))
     at = e.withColumn("__p", F.element_at(perm, F.col("j").cast("int")))
     return at.select("i", (F.row_number().over(Window.partitionBy("i").orderBy("__p")) - 1).alias("pos"), code)
+
+
+#: Column orders by name, from (c1, c2, w) and the number of columns.
+METHODS = {"pathcover": path_cover, "contract": path_cover_contract, "matching": matching_order}

@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftmat.functions import codecs
-from weftmat.operators import algebra, encode, grammar, graph, layout, reorder
-from weftmat.plans.scratch import materialize
-from weftmat.sources import readers
+from weftmat.operators import algebra, encode, grammar, graph, hybrid, layout, reorder
+from weftmat.plans.scratch import materialize, scratch_dir
+from weftmat.sources import readers, sinks, stored
 
 ORDER = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 COLS, X = 4, [1, 2, 3, 4]
@@ -46,7 +46,7 @@ n AS (SELECT * FROM generate_series(0, 5) t(c)),
 w AS (SELECT a.j AS c1, b.j AS c2, a.v AS v1, b.v AS v2, count(*) AS n FROM e a JOIN e b ON a.i = b.i AND a.j < b.j GROUP BY ALL),
 csm AS (SELECT CAST(p.c AS INTEGER) AS c1, CAST(q.c AS INTEGER) AS c2, CAST(coalesce(count(w.n) - sum(w.n), 0) AS BIGINT) AS w
   FROM n p JOIN n q ON p.c < q.c LEFT JOIN w ON w.c1 = p.c AND w.c2 = q.c GROUP BY p.c, q.c) """
-_GRAPH = """nn AS (SELECT count(*) AS n FROM supplier), g AS (SELECT DISTINCT l_suppkey AS src, l_partkey % (SELECT n FROM nn) AS dst FROM lineitem),
+_GRAPH = """nn AS (SELECT max(p_partkey) + 1 AS n FROM part), g AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem),
 deg AS (SELECT src AS node, count(*) AS degree FROM g GROUP BY src),
 nodes AS (SELECT u.node, degree AS out FROM (SELECT unnest(range((SELECT n FROM nn))) AS node) u LEFT JOIN deg USING (node)) """
 
@@ -118,9 +118,9 @@ def seqs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
-    n = spark.read.parquet(f"{sf_dir}/supplier.parquet").count()
-    e = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % n).alias("dst"))
-    return graph.clean_edges(e), n
+    """Suppliers link to the numbers of their parts; there are more parts than suppliers, so many nodes dangle."""
+    n = spark.read.parquet(f"{sf_dir}/part.parquet").agg(F.max("p_partkey")).first()[0] + 1
+    return graph.clean_edges(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"))), n
 
 
 def _x(spark: SparkSession) -> DataFrame:
@@ -181,26 +181,82 @@ def _(spark, d):
     return spark.createDataFrame([(k, v / top, lam) for k, v in enumerate(z)], "j int, x double, lam double").select("j", F.round("x", 8).alias("x"), F.round(F.log("lam"), 8).alias("log_lambda"))
 
 
-@query("least_squares", "SELECT * FROM (VALUES (0, CAST(1.0 AS DOUBLE)), (1, 2.0), (2, 3.0), (3, 4.0)) t(j, x)")
+def _cramer() -> str:
+    """SQL: the normal equations of four columns against l_linenumber, solved by determinants."""
+    from itertools import permutations
+
+    cols = ["l_quantity / 50", "l_extendedprice / 1e5", "l_discount * 10", "l_tax * 12.5"]
+    sums = [f"sum(({a}) * ({b})) AS a{i}{j}" for i, a in enumerate(cols) for j, b in enumerate(cols)] + [f"sum(({a}) * l_linenumber) AS b{i}" for i, a in enumerate(cols)]
+
+    def det(replaced: int | None) -> str:
+        terms = []
+        for p in permutations(range(4)):
+            odd = sum(p[i] > p[j] for i in range(4) for j in range(i + 1, 4)) % 2
+            terms.append(("-" if odd else "+") + " * ".join(f"b{i}" if p[i] == replaced else f"a{i}{p[i]}" for i in range(4)))
+        return "(" + " ".join(terms) + ")"
+
+    body = " UNION ALL ".join(f"SELECT {k} AS j, round({det(k)} / {det(None)}, 5) AS x FROM t" for k in range(4))
+    return f"WITH t AS (SELECT {', '.join(sums)} FROM lineitem) {body}"
+
+
+@query("least_squares", _cramer())
 def _(spark, d):
-    """y is made from x = 1, 2, 3, 4; conjugate gradients find x again."""
-    e = spark.read.parquet(f"{d}/lineitem.parquet").select(F.array(F.col("l_quantity") / 50, F.col("l_extendedprice") / 1e5, F.col("l_discount") * 10, F.col("l_tax") * 12.5).alias("vals"))
-    e = e.withColumn("y", sum((F.col("vals")[k] * X[k] for k in range(1, 4)), F.col("vals")[0] * X[0]))
+    """The line numbers as a combination of the four columns, by conjugate gradients."""
+    e = spark.read.parquet(f"{d}/lineitem.parquet").select(F.array(F.col("l_quantity") / 50, F.col("l_extendedprice") / 1e5, F.col("l_discount") * 10, F.col("l_tax") * 12.5).alias("vals"), F.col("l_linenumber").cast("double").alias("y"))
     w = algebra.least_squares(e, "y", COLS, 12)
-    return spark.createDataFrame([(k, round(v, 4)) for k, v in enumerate(w)], "j int, x double")
+    return spark.createDataFrame([(k, round(v, 5)) for k, v in enumerate(w)], "j int, x double")
 
 
-@query("dense_dot", "SELECT vec_id AS i, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 6) AS y FROM embeddings")
+@query("dense_dot", "SELECT vec_id AS i, round(list_sum(list_transform(embedding, lambda x, k: CAST(x AS DOUBLE) * (k % 5 + 1))), 6) AS y FROM embeddings")
 def _(spark, d):
     e = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("i"), F.col("embedding").cast("array<double>").alias("vals"))
-    return algebra.dense_right(e, [1.0] * 64).select("i", F.round("y", 6).alias("y"))
+    return algebra.dense_right(e, [(k + 1) % 5 + 1.0 for k in range(64)]).select("i", F.round("y", 6).alias("y"))
+
+
+@query("complex_multiply", "WITH " + _LINES + " SELECT i, CAST(round(l_quantity * 100) * 2 - round(l_discount * 100) * 3 - round(l_tax * 100) + 5 * l_linenumber AS BIGINT) AS re, CAST(round(l_quantity * 100) * 3 + round(l_discount * 100) * 2 - 5 * round(l_tax * 100) - l_linenumber AS BIGINT) AS im FROM m")
+def _(spark, d):
+    """Two complex columns: quantity + discount i and tax + line number i, times 2 + 3i and -1 - 5i."""
+    rows = lines(spark, d, (*MAIN, "l_linenumber"))
+    cell = lambda re, im: F.struct(re.alias("re"), im.alias("im"))
+    cells = F.array(cell(cents("l_quantity"), cents("l_discount")), cell(cents("l_tax"), F.col("l_linenumber").cast("bigint")))
+    e = rows.select("i", F.posexplode(cells).alias("j", "v"))
+    x = spark.createDataFrame([(0, (2, 3)), (1, (-1, -5))], "j int, x struct<re:bigint,im:bigint>")
+    return algebra.complex_multiply(e, x, 2)
+
+
+def _hybrid(spark, d):
+    e = main(spark, d)
+    values = encode.dictionary(e, COLS)
+    split = layout.hybrid_split(encode.sequences(materialize(encode.csrv(e, values, COLS), "codes")), 1)
+    return hybrid.compress_split(split, f"i div {GRAMMAR_ROWS}"), values
 
 
-@query("complex_multiply", "WITH " + _LINES + " SELECT i, CAST(round(l_quantity * 100) * 2 - round(l_discount * 100) * 3 AS BIGINT) AS re, CAST(round(l_quantity * 100) * 3 + round(l_discount * 100) * 2 AS BIGINT) AS im FROM m")
+@query("hybrid_right_multiply", main_sql("SELECT i, CAST(sum(v * x) AS BIGINT) AS y FROM e JOIN x USING (j) GROUP BY i"))
 def _(spark, d):
-    e = lines(spark, d).select("i", F.lit(0).alias("j"), F.struct(cents("l_quantity").alias("re"), cents("l_discount").alias("im")).alias("v"))
-    x = spark.range(1).select(F.col("id").cast("int").alias("j"), F.struct(F.lit(2).alias("re"), F.lit(3).alias("im")).alias("x"))
-    return algebra.complex_multiply(e, x)
+    (rules, cseq, b), values = _hybrid(spark, d)
+    return hybrid.right_multiply(rules, cseq, b, values, _x(spark), COLS)
+
+
+@query("hybrid_left_multiply", main_sql("SELECT CAST(j AS INTEGER) AS j, CAST(sum(v * (i % 7 + 1)) AS BIGINT) AS z FROM e GROUP BY j"))
+def _(spark, d):
+    (rules, cseq, b), values = _hybrid(spark, d)
+    y = cseq.select("i").union(b.select("i")).distinct().withColumn("y", F.col("i") % 7 + 1)
+    return hybrid.left_multiply(rules, cseq, b, values, y, COLS)
+
+
+def _power_signed_sql(rounds: int) -> str:
+    out = [f"WITH {_MAIN}, z0 AS (SELECT j, CAST(1 AS DOUBLE) AS z, CAST(1 AS DOUBLE) AS lam FROM x)"]
+    for k in range(rounds):
+        out.append(f"y{k} AS (SELECT i, sum(CASE WHEN j = 2 THEN -v ELSE v END * z / lam) AS y FROM e JOIN z{k} USING (j) GROUP BY i), t{k} AS (SELECT j, sum(CASE WHEN j = 2 THEN -v ELSE v END * y) AS z FROM e JOIN y{k} USING (i) GROUP BY j), z{k + 1} AS (SELECT j, z, (SELECT greatest(max(z), 2.2250738585072014e-308) FROM t{k}) AS lam FROM t{k})")
+    return ", ".join(out) + f" SELECT j, round(z / lam, 8) AS x, round(ln((SELECT max(lam) FROM z{rounds - 1})), 8) AS log_lambda FROM z{rounds}"
+
+
+@query("power_iterate_signed", _power_signed_sql(3))
+def _(spark, d):
+    """With a negative column and the signed norm of the dense programs."""
+    rows = unordered(spark, d).select(F.transform("vals", lambda v, k: F.when(k == 2, -v).otherwise(v).cast("double")).alias("vals"))
+    lam, z = algebra.power_iterate(rows, [1.0] * COLS, 3, signed=True)
+    return spark.createDataFrame([(k, v / max(z), lam) for k, v in enumerate(z)], "j int, x double, lam double").select("j", F.round("x", 8).alias("x"), F.round(F.log("lam"), 8).alias("log_lambda"))
 
 
 # encodings
@@ -310,6 +366,49 @@ def _(spark, d):
     return layout.alphabet_gaps(layout.alphabet(codes(spark, d)))
 
 
+@query("alphabet_gap_decode", main_sql("SELECT rank, code FROM al"))
+def _(spark, d):
+    return layout.alphabet_from_gaps(layout.alphabet_gaps(layout.alphabet(codes(spark, d))))
+
+
+@query("alphabet_to_ranks", main_sql("SELECT i, CAST(j AS INTEGER) AS j, rank AS code FROM c JOIN al USING (code)"))
+def _(spark, d):
+    c = codes(spark, d)
+    return layout.to_ranks(c, layout.alphabet(c)).select("i", "j", "code")
+
+
+@query("alphabet_unmap", main_sql("SELECT i, CAST(j AS INTEGER) AS j, code FROM c"))
+def _(spark, d):
+    c = codes(spark, d)
+    alpha = layout.alphabet(c)
+    return layout.from_ranks(layout.to_ranks(c, alpha), alpha).select("i", "j", "code")
+
+
+@query("bad_codes", main_sql("SELECT i, CAST(j AS INTEGER) AS j, CASE WHEN i % 100 = 7 THEN -code ELSE code + 4 * (SELECT count(*) FROM d) END AS code FROM c WHERE i % 100 = 7 OR i % 100 = 9"))
+def _(spark, d):
+    """Codes of which some have been moved out of the range are found; none of the others is."""
+    c = codes(spark, d)
+    n = c.agg(F.max(F.expr(f"(code - 1) div {COLS}"))).first()[0] + 1
+    moved = F.when(F.col("i") % 100 == 7, -F.col("code")).when(F.col("i") % 100 == 9, F.col("code") + n * COLS).otherwise(F.col("code"))
+    return encode.bad_codes(c.withColumn("code", moved), n, COLS)
+
+
+@query("rows_from_terminators", main_sql("SELECT i // 1000 AS block, i % 1000 AS row, code AS sym FROM c"))
+def _(spark, d):
+    """Codes with 0 behind each row, as in files, and no row numbers: these come back from the zeros."""
+    s = seqs(spark, d).select(F.expr("i div 1000").alias("block"), "i", F.posexplode(F.concat("seq", F.array(F.lit(0).cast("bigint")))).alias("k", "sym"))
+    every = lines(spark, d).select(F.expr("i div 1000").alias("block"), "i").join(s.select("i").distinct(), "i", "left_anti").select("block", "i", F.lit(0).alias("k"), F.lit(0).cast("bigint").alias("sym"))
+    flat = s.unionByName(every).select("block", (F.col("i") * 16 + F.col("k")).alias("pos"), "sym")
+    return layout.rows_from_terminators(flat).select("block", "row", "sym")
+
+
+@query("row_blocks", main_sql("SELECT i // ((SELECT count(*) + 3 FROM m) // 4) AS block, i, CAST(sum(v) AS BIGINT) AS x FROM e GROUP BY i"))
+def _(spark, d):
+    """A vector, the row sums, cut into the blocks of its matrix."""
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").count()
+    return main(spark, d).groupBy("i").agg(F.sum("v").alias("x")).select(encode.block_of(rows, BLOCKS), "i", "x")
+
+
 @query("ole_encode", main_sql("SELECT i, string_agg(gap, ',' ORDER BY pos) AS gaps FROM oe GROUP BY i"))
 def _(spark, d):
     return layout.ole_encode(seqs(spark, d)).select("i", F.array_join(F.transform("seq", lambda x: x.cast("string")), ",").alias("gaps"))
@@ -359,10 +458,58 @@ def _(spark, d):
     return codes(spark, d).filter(F.col("code").isin(1, 2, 6, 9)).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("ans_round_trip", None)
+_CODED = main_sql(f"SELECT i // {GRAMMAR_ROWS} AS block, row_number() OVER (PARTITION BY i // {GRAMMAR_ROWS} ORDER BY i, j) - 1 AS pos, code AS sym FROM c")
+
+
+def _round_trip(codec: str) -> Query:
+    def run(spark, d):
+        """Every code again after its block went through the codec."""
+        s = codes(spark, d).select(F.expr(f"i div {GRAMMAR_ROWS}").alias("block"), (F.col("i") * COLS + F.col("j")).alias("pos"), F.col("code").alias("sym"))
+        return codecs.decode_blocks(materialize(codecs.encode_blocks(s, codec), "coded"), codec)
+
+    return run
+
+
+for _name, _codec in (("ans_round_trip", "ans"), ("iv_round_trip", "iv"), ("ans_reorder_round_trip", "rans"), ("byte_ans_round_trip", "bytes")):
+    query(_name, _CODED)(_round_trip(_codec))
+
+
+@query("interpolative_round_trip", main_sql("SELECT code // 65536 AS block, row_number() OVER (PARTITION BY code // 65536 ORDER BY code) - 1 AS pos, code AS sym FROM al"))
+def _(spark, d):
+    """The alphabet, ascending, in blocks."""
+    s = layout.alphabet(codes(spark, d)).select(F.expr("code div 65536").alias("block"), F.col("rank").alias("pos"), F.col("code").alias("sym"))
+    return codecs.decode_blocks(materialize(codecs.encode_blocks(s, "interpolative"), "coded"), "interpolative")
+
+
+@query("symbols_by_frequency", main_sql("SELECT code, freq, row_number() OVER (ORDER BY freq DESC, code) - 1 AS rank FROM (SELECT code, count(*) AS freq FROM c GROUP BY code)"))
+def _(spark, d):
+    f = layout.code_freq(codes(spark, d)).withColumn("__down", -F.col("freq"))
+    return encode.number_rows(f, ["__down", "code"], "rank", ["code", "freq"])
+
+
+@query("compact_alphabet", "SELECT l_orderkey, l_linenumber, dense_rank() OVER (ORDER BY l_partkey) - 1 AS sym FROM lineitem")
+def _(spark, d):
+    """Part keys as consecutive numbers in their order."""
+    t = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey")
+    return layout.compact(t, "l_partkey", "sym").select("l_orderkey", "l_linenumber", "sym")
+
+
+@query("chars_to_ints", "SELECT n_nationkey, CAST(p - 1 AS INTEGER) AS pos, unicode(n_name[p]) AS sym FROM (SELECT n_nationkey, n_name, unnest(range(1, length(n_name) + 1)) AS p FROM nation)")
+def _(spark, d):
+    return grammar.code_points(spark.read.parquet(f"{d}/nation.parquet"), "n_name").select("n_nationkey", "pos", "sym")
+
+
+@query("text_grammar", "SELECT doc_id, text FROM documents WHERE text IS NOT NULL AND length(text) > 0")
+def _(spark, d):
+    """Each document's text as a grammar over its code points, expanded again."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").filter("length(text) > 0")
+    rules, cseq = grammar.compress(grammar.code_point_seqs(docs, "doc_id", "text"))
+    return grammar.expand_texts(rules, cseq).select(F.col("block").alias("doc_id"), "text")
+
+
+@query("locate_values", main_sql("SELECT code, i, CAST(pos AS INTEGER) AS pos FROM c WHERE code IN (1, 2, 6, 9)"))
 def _(spark, d):
-    s = codes(spark, d).select(F.expr(f"i div {GRAMMAR_ROWS}").alias("block"), (F.col("i") * COLS + F.col("j")).alias("pos"), F.col("code").alias("sym"))
-    return codecs.encode_blocks(s, "ans").select("block", "n", F.length("data").cast("bigint").alias("bytes"))
+    return layout.locate(seqs(spark, d), [1, 2, 6, 9])
 
 
 # similarity and order
@@ -383,18 +530,55 @@ def _(spark, d):
     return reorder.prune_global(reorder.csm(six(spark, d), 6), 1, 6)
 
 
-@query("path_cover", None)
+def _cover_sql(ranked: str, cols: int) -> str:
+    """SQL behind WITH RECURSIVE: columns in the order of a path cover, from a table ranked(k, a, b) of pairs, the first to try being k = 1."""
+    lab, deg = f"range({cols})", f"list_transform(range({cols}), lambda x: 0)"
+    ok = "(s.lab[r.a + 1] <> s.lab[r.b + 1] AND s.deg[r.a + 1] < 2 AND s.deg[r.b + 1] < 2)"
+    return f"""ranked AS ({ranked}),
+    s(k, lab, deg, es) AS (SELECT 0, {lab}, {deg}, CAST([] AS INTEGER[]) UNION ALL
+      SELECT s.k + 1, CASE WHEN {ok} THEN list_transform(s.lab, lambda x: CASE WHEN x = greatest(s.lab[r.a + 1], s.lab[r.b + 1]) THEN least(s.lab[r.a + 1], s.lab[r.b + 1]) ELSE x END) ELSE s.lab END,
+             CASE WHEN {ok} THEN list_transform(s.deg, lambda x, p: x + CASE WHEN p - 1 = r.a OR p - 1 = r.b THEN 1 ELSE 0 END) ELSE s.deg END,
+             CASE WHEN {ok} THEN list_concat(s.es, [CAST(r.a * {cols} + r.b AS INTEGER), CAST(r.b * {cols} + r.a AS INTEGER)]) ELSE s.es END
+      FROM s JOIN ranked r ON r.k = s.k + 1),
+    fin AS (SELECT es, deg FROM s ORDER BY k DESC LIMIT 1),
+    walk(pos, col, seen) AS (
+      SELECT 0, (SELECT list_min(list_filter(range({cols}), lambda c: deg[c + 1] < 2)) FROM fin), [(SELECT list_min(list_filter(range({cols}), lambda c: deg[c + 1] < 2)) FROM fin)] UNION ALL
+      SELECT pos + 1, nxt, list_append(seen, nxt) FROM (
+        SELECT w.*, coalesce(list_min(list_filter(range({cols}), lambda c: list_contains(f.es, CAST(w.col * {cols} + c AS INTEGER)) AND NOT list_contains(w.seen, c))),
+                             list_min(list_filter(range({cols}), lambda c: f.deg[c + 1] < 2 AND NOT list_contains(w.seen, c)))) AS nxt FROM walk w, fin f) WHERE nxt IS NOT NULL)
+    SELECT CAST(pos AS INTEGER) AS pos, CAST(col AS INTEGER) AS col FROM walk"""
+
+
+@query("path_cover", f"WITH RECURSIVE {_SIX}, " + _cover_sql("SELECT row_number() OVER (ORDER BY w, c1, c2) AS k, c1 AS a, c2 AS b FROM csm", 6))
 def _(spark, d):
     order = reorder.path_cover([(r.c1, r.c2, r.w) for r in reorder.csm(six(spark, d), 6).collect()], 6)
     return spark.createDataFrame(list(enumerate(order)), "pos int, col int")
 
 
-@query("path_cover_frequent", None)
+_FREQUENT = """SELECT row_number() OVER (ORDER BY abs(k - m // 2), k) AS k, c1 AS a, c2 AS b FROM (
+  SELECT c1, c2, row_number() OVER (ORDER BY f DESC, c1, c2) - 1 AS k, count(*) OVER () AS m FROM (SELECT (a - 1) % 4 AS c1, (b - 1) % 4 AS c2, sum(freq) AS f FROM ap WHERE freq > 1 GROUP BY 1, 2) WHERE c1 <> c2)"""
+
+
+def _frequent_order(c: DataFrame) -> list[int]:
+    return reorder.frequent_order(c, COLS, 3)
+
+
+@query("path_cover_frequent", f"WITH RECURSIVE {_MAIN}, {_TOP}, " + _cover_sql(_FREQUENT, 4))
+def _(spark, d):
+    return spark.createDataFrame(list(enumerate(_frequent_order(codes(spark, d)))), "pos int, col int")
+
+
+@query("reorder_converter", f"WITH RECURSIVE {_MAIN}, {_TOP}, pc AS (SELECT * FROM (WITH RECURSIVE " + _cover_sql(_FREQUENT, 4) + ")) SELECT i, string_agg(code, ',' ORDER BY pc.pos) AS seq FROM c JOIN pc ON pc.col = c.j GROUP BY i")
 def _(spark, d):
+    """The converter's reordering from end to end: frequent codes, their column pairs, the order, the reordered sequences."""
     c = codes(spark, d)
-    freq = layout.column_pair_freq(layout.allpair_freq(c, layout.topk_codes_per_column(c, 3)), COLS)
-    order = reorder.path_cover_frequent([(r.c1, r.c2, r.freq) for r in freq.collect()], COLS)
-    return spark.createDataFrame(list(enumerate(order)), "pos int, col int")
+    s = reorder.reordered_sequences(c, _frequent_order(c))
+    return s.select("i", F.array_join(F.transform("seq", lambda x: x.cast("string")), ",").alias("seq"))
+
+
+@query("csm_blocks", f"WITH {_SIX}, bw AS (SELECT i // 4096 AS block, c1, c2, count(*) - sum(n) AS w FROM (SELECT a.i // 4096 AS i, a.j AS c1, b.j AS c2, count(*) AS n FROM e a JOIN e b ON a.i = b.i AND a.j < b.j GROUP BY a.i // 4096, a.j, b.j, a.v, b.v) t(i0, c1, c2, n) GROUP BY 1, 2, 3) SELECT 0".replace("i // 4096 AS block, c1, c2, count(*) - sum(n) AS w FROM (SELECT a.i // 4096 AS i,", "i0 AS block, c1, c2, CAST(count(*) - sum(n) AS BIGINT) AS w FROM (SELECT a.i // 4096 AS i0,").replace(" t(i0, c1, c2, n) GROUP BY 1, 2, 3) SELECT 0", " GROUP BY 1, 2, 3) SELECT block, CAST(c1 AS INTEGER) AS c1, CAST(c2 AS INTEGER) AS c2, w FROM bw"))
+def _(spark, d):
+    return reorder.csm_blocks(six(spark, d), "i div 4096")
 
 
 @query("path_cover_contract", None)
@@ -409,6 +593,15 @@ def _(spark, d):
     return spark.createDataFrame(list(enumerate(order)), "pos int, col int")
 
 
+@query("matching_weight", f"""WITH RECURSIVE {_SIX}, o AS (SELECT c1, c2, CAST(-w // 256 + 1 AS BIGINT) AS g FROM csm WHERE w < 0),
+r(c, mask, g) AS (SELECT 0, 0, CAST(0 AS BIGINT) UNION (SELECT r.c + 1, r.mask, r.g FROM r WHERE r.c < 6 UNION ALL SELECT r.c + 1, r.mask | (1 << o.c2), r.g + o.g FROM r JOIN o ON o.c1 = r.c AND r.mask & (1 << o.c2) = 0))
+SELECT CAST(max(g) AS BIGINT) AS weight FROM r""")
+def _(spark, d):
+    """The weight of the matching behind the order is the largest there is; SQL tries all matchings."""
+    pairs = [(r.c1, r.c2, r.w) for r in reorder.csm(six(spark, d), 6).collect()]
+    return spark.createDataFrame([(reorder.matching_weight(pairs, reorder.matching(pairs, 6)),)], "weight bigint")
+
+
 @query("apply_permutation", main_sql("SELECT i, CAST(row_number() OVER (PARTITION BY i ORDER BY p.pos) - 1 AS INTEGER) AS pos, code FROM c JOIN (VALUES (2, 0), (0, 1), (3, 2), (1, 3)) p(j, pos) USING (j)"))
 def _(spark, d):
     return reorder.apply_permutation(codes(spark, d), [2, 0, 3, 1])
@@ -427,10 +620,17 @@ def _(spark, d):
     return graph.degrees(edges(spark, d)[0], "dst")
 
 
-@query("dangling_nodes", "SELECT c_custkey AS node FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("dangling_nodes", f"WITH {_GRAPH} SELECT node FROM nodes WHERE out IS NULL")
+def _(spark, d):
+    e, n = edges(spark, d)
+    return graph.dangling(spark.range(n).withColumnRenamed("id", "node"), e)
+
+
+@query("graph_summary", f"WITH {_GRAPH} SELECT count(*) AS nodes, count(*) FILTER (out IS NULL) AS dangling, CAST(sum(out) AS BIGINT) AS arcs, CAST(1.0 AS DOUBLE) AS rank_sum FROM nodes")
 def _(spark, d):
-    nodes = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("node"))
-    return graph.dangling(nodes, spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_custkey").alias("src")))
+    """The ranks after some rounds sum to one, whatever dangles."""
+    e, n = edges(spark, d)
+    return graph.summary(materialize(e, "edges"), n, _pagerank(spark, d, 10)).withColumn("rank_sum", F.round("rank_sum", 6))
 
 
 @query("remove_self_loops", f"WITH {_GRAPH} SELECT src, dst FROM g WHERE src <> dst")
@@ -448,10 +648,28 @@ def _(spark, d):
     return graph.edge_stats(edges(spark, d)[0])
 
 
-def _pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _pagerank(spark: SparkSession, sf_dir: str, digits: int = 10) -> DataFrame:
     e, n = edges(spark, sf_dir)
     ranks = graph.pagerank(materialize(e, "edges"), n, ROUNDS, save=lambda df, k: materialize(df, f"ranks{k}"))
-    return ranks.select("node", F.round("rank", 10).alias("rank"))
+    return ranks.select("node", F.round("rank", digits).alias("rank"))
+
+
+_DELTA = " UNION ALL ".join(f"SELECT {k} AS round, round(sum(abs(a.rank - b.rank)), 9) AS delta FROM r{k} a JOIN r{k - 1} b USING (node)" for k in range(1, ROUNDS + 1))
+
+
+@query("pagerank_deltas", f"WITH {_GRAPH}, {_ranks(ROUNDS)} {_DELTA}")
+def _(spark, d):
+    """How far the ranks move in each round, and that a threshold between two of these moves ends the loop there."""
+    e, n = edges(spark, d)
+    moves: list[float] = []
+    save = lambda df, k: materialize(df, f"ranks{k}")
+    e = materialize(e, "edges")
+    graph.pagerank(e, n, ROUNDS, eps=0.0, save=save, moves=moves)
+    again: list[float] = []
+    graph.pagerank(e, n, ROUNDS, eps=(moves[1] + moves[2]) / 2, save=save, moves=again)
+    if len(again) != 3:
+        raise ValueError("the threshold did not end the loop")
+    return spark.createDataFrame([(k + 1, round(m, 9)) for k, m in enumerate(moves)], "round int, delta double")
 
 
 @query("pagerank_n", f"WITH {_GRAPH}, {_ranks(ROUNDS)} SELECT node, round(rank, 10) AS rank FROM r{ROUNDS}")
@@ -502,6 +720,16 @@ def _(spark, d):
     return algebra.normalize(spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("idx"), F.col("s_acctbal").alias("x")))
 
 
+@query("vector_scale", "SELECT s_suppkey AS idx, CAST(round(s_acctbal * 100) AS BIGINT) * -3 AS x FROM supplier")
+def _(spark, d):
+    return algebra.scale(_vectors(spark, d)[0], -3)
+
+
+@query("normalize_signed", "SELECT s_suppkey AS idx, s_acctbal / (SELECT greatest(max(s_acctbal), 2.2250738585072014e-308) FROM supplier) AS x FROM supplier")
+def _(spark, d):
+    return algebra.normalize(spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("idx"), F.col("s_acctbal").alias("x")), signed=True)
+
+
 @query("constant_vector", "SELECT range AS idx, CAST(CASE range % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 2.5 ELSE -1.0 END AS DOUBLE) AS x FROM range(1000)")
 def _(spark, d):
     return algebra.constant_vector(spark, 1000, [1.0, 2.5, -1.0])
@@ -519,9 +747,10 @@ def _(spark, d):
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", readers.fill_missing(cells, "0")[0].alias("cell"))
 
 
-@query("token_hash", "SELECT doc_id, CAST(('0x' || sha256(source)[1:8]) AS BIGINT) AS h FROM documents")
+@query("token_hash", "SELECT doc_id, CASE WHEN t = '0' THEN 0 ELSE CAST(('0x' || sha256(t)[1:8]) AS BIGINT) END AS h FROM (SELECT doc_id, CASE WHEN lang = 'en' THEN '0' ELSE source END AS t FROM documents)")
 def _(spark, d):
-    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.conv(F.substring(F.sha2("source", 256), 1, 8), 16, 10).cast("bigint").alias("h"))
+    token = F.when(F.col("lang") == "en", "0").otherwise(F.col("source"))
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", encode.token_hash(token).alias("h"))
 
 
 # grammar
@@ -559,6 +788,227 @@ def _(spark, d):
     return grammar.symbol_masses(rules, cseq, y).join(_weights(values), "sym").groupBy("j").agg(F.sum(F.col("v") * F.col("mass")).alias("z"))
 
 
+@query("grammar_lengths", main_sql(f"SELECT i // {GRAMMAR_ROWS} AS block, count(*) AS length FROM c GROUP BY 1"))
+def _(spark, d):
+    """The lengths that the blocks' rules and symbols stand for, each rule's length counted once."""
+    rules, cseq, _ = grammar_of(spark, d)
+    return grammar.expanded_lengths(rules, cseq)
+
+
+def _stored(spark, d):
+    path = scratch_dir(spark)
+    rules, cseq, values = grammar_of(spark, d)
+    stored.store_values(values, path)
+    return path, rules, cseq
+
+
+@query("stored_codes_multiply", main_sql("SELECT i, CAST(sum(v * x) AS BIGINT) AS y FROM e JOIN x USING (j) GROUP BY i"))
+def _(spark, d):
+    """Codes stored by block, read back block by block, put together, checked, and multiplied."""
+    path = scratch_dir(spark)
+    e = main(spark, d)
+    values = encode.dictionary(e, COLS)
+    stored.store_values(values, path)
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").count()
+    stored.store_codes(encode.csrv(e, values, COLS).withColumn("block", encode.block_of(rows, BLOCKS)), path)
+    back = stored.load_values(spark, path)
+    c = stored.load_codes(spark, path, [0, 1]).unionByName(stored.load_codes(spark, path, [2, 3]))
+    return algebra.right_multiply_codes(encode.checked_codes(c, back.count(), COLS), back, _x(spark), COLS)
+
+
+@query("stored_grammar_multiply", main_sql("SELECT i, CAST(sum(v * x) AS BIGINT) AS y FROM e JOIN x USING (j) GROUP BY i"))
+def _(spark, d):
+    path, rules, cseq = _stored(spark, d)
+    stored.store_grammar(rules, cseq, path)
+    return grammar.right_multiply(*stored.load_grammar(spark, path), _weights(stored.load_values(spark, path)).select("sym", "w"))
+
+
+@query("stored_ans_grammar_expand", main_sql("SELECT i, string_agg(code, ',' ORDER BY j) AS seq FROM c GROUP BY i"))
+def _(spark, d):
+    """Rules and sequences of every block as ANS bytes, read, decoded and expanded."""
+    path, rules, cseq = _stored(spark, d)
+    stored.store_coded(rules, cseq, path, "ans")
+    out = grammar.expand(*stored.load_coded(spark, path, "ans"))
+    return out.select("i", F.array_join(F.transform("seq", lambda x: x.cast("string")), ",").alias("seq"))
+
+
+@query("stored_iv_grammar_multiply", main_sql("SELECT j, CAST(sum(v * (i % 7 + 1)) AS BIGINT) AS z FROM e GROUP BY j"))
+def _(spark, d):
+    path, rules, cseq = _stored(spark, d)
+    stored.store_coded(rules, cseq, path, "iv")
+    rules, cseq = (materialize(t, "loaded") for t in stored.load_coded(spark, path, "iv"))
+    y = cseq.select("i").distinct().withColumn("y", F.col("i") % 7 + 1)
+    return grammar.symbol_masses(rules, cseq, y).join(_weights(stored.load_values(spark, path)), "sym").groupBy("j").agg(F.sum(F.col("v") * F.col("mass")).alias("z"))
+
+
+@query("stored_split_multiply", main_sql("SELECT i, CAST(sum(v * x) AS BIGINT) AS y FROM e JOIN x USING (j) GROUP BY i"))
+def _(spark, d):
+    """Parts A and B stored by block, read, A's grammar made, and both multiplied."""
+    path = scratch_dir(spark)
+    e = main(spark, d)
+    values = encode.dictionary(e, COLS)
+    split = layout.hybrid_split(encode.sequences(materialize(encode.csrv(e, values, COLS), "codes")), 1)
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").count()
+    stored.store_split(split.withColumn("block", encode.block_of(rows, BLOCKS)), path)
+    a = stored.load_split(spark, path, "A").groupBy("block", "i").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "code"))), lambda x: x["code"]).alias("seq"))
+    rules, cseq = grammar.compress(a.withColumn("block", F.expr(f"i div {GRAMMAR_ROWS}")))
+    return hybrid.right_multiply(rules, cseq, stored.load_split(spark, path, "B"), values, _x(spark), COLS)
+
+
+# files, written to the shared folder and read back
+
+
+def _supplier(spark, d):
+    return encode.number_rows(spark.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", "s_nationkey", "s_acctbal"), ["s_suppkey"], "i")
+
+
+_SUPPLIER = "s AS (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS i, * FROM supplier)"
+
+
+@query("csv_scan", main_sql("SELECT i, CAST(j AS INTEGER) AS j, v FROM cl"))
+def _(spark, d):
+    """The matrix as gzip CSV files and back."""
+    path = scratch_dir(spark)
+    sinks.write_csv(dense(spark, d), path, compression="gzip")
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").count()
+    back = readers.dense_csv(spark, path, COLS, rows)
+    return back.select("i", F.posexplode("vals").alias("j", "v")).select("i", "j", F.col("v").cast("bigint").alias("v"))
+
+
+def _matrix_bytes(spark, d, dtype: str) -> tuple[str, int]:
+    """A file of suppliers' (balance in cents, nation): one block of the dense writer, put into one file."""
+    path = f"{scratch_dir(spark)}/m.bin"
+    m = _supplier(spark, d).select("i", F.array(cents("s_acctbal"), F.col("s_nationkey").cast("bigint")).alias("vals"))
+    rows = m.count()
+    parts = sinks.binary_blocks(m, rows, 1, dtype).orderBy("chunk").collect()
+    sinks.write_bytes(spark, path, b"".join(bytes(p.data) for p in parts))
+    return path, rows
+
+
+for _dtype in ("f64", "f32", "i32"):
+
+    def _scan(spark, d, dtype=_dtype):
+        path, rows = _matrix_bytes(spark, d, dtype)
+        back = readers.dense_binary(spark, path, rows, 2, dtype)
+        return back.select("i", *(F.col("vals")[k].cast("bigint").alias(n) for k, n in enumerate("ab")))
+
+    query(f"binary_scan_{_dtype}", f"WITH {_SUPPLIER} SELECT i, CAST(round(s_acctbal * 100) AS BIGINT) AS a, CAST(s_nationkey AS BIGINT) AS b FROM s")(_scan)
+
+
+@query("complex_binary_scan", f"WITH {_SUPPLIER} SELECT i, CAST(round(s_acctbal * 100) AS BIGINT) AS re, CAST(s_nationkey AS BIGINT) AS im FROM s")
+def _(spark, d):
+    path, rows = _matrix_bytes(spark, d, "f64")
+    return readers.dense_binary(spark, path, rows, 1, "c128").select("i", F.col("vals")[0].re.cast("bigint").alias("re"), F.col("vals")[0].im.cast("bigint").alias("im"))
+
+
+@query("complex_csv_scan", f"WITH {_SUPPLIER} SELECT i, s_acctbal AS re, CAST(s_nationkey AS DOUBLE) AS im FROM s")
+def _(spark, d):
+    path = scratch_dir(spark)
+    line = F.format_string("(%s%sj)", F.col("s_acctbal").cast("string"), F.concat(F.lit("+"), F.col("s_nationkey").cast("string")))
+    _supplier(spark, d).repartitionByRange("i").sortWithinPartitions("i").select(line.alias("value")).write.text(path)
+    return readers.complex_csv(spark, path, 1).select("i", F.col("vals")[0].re.alias("re"), F.col("vals")[0].im.alias("im"))
+
+
+_CELLS = "SELECT l_suppkey AS i, CAST(l_partkey % 100 AS INTEGER) AS j, CAST(sum(l_linenumber) AS DOUBLE) AS v FROM lineitem GROUP BY 1, 2"
+
+
+def _cells(spark, d):
+    t = spark.read.parquet(f"{d}/lineitem.parquet")
+    return t.groupBy(F.col("l_suppkey").alias("i"), (F.col("l_partkey") % 100).cast("int").alias("j")).agg(F.sum("l_linenumber").cast("double").alias("v"))
+
+
+@query("triplet_scan", _CELLS)
+def _(spark, d):
+    path = scratch_dir(spark)
+    e = _cells(spark, d)
+    e.select(F.concat_ws(" ", "i", "j", "v").alias("value")).write.text(path)
+    return readers.triplets(spark, path, 1 << 31, 100)
+
+
+@query("boolean_scan", f"SELECT i, j, CAST(1 AS DOUBLE) AS v FROM ({_CELLS})")
+def _(spark, d):
+    path = scratch_dir(spark)
+    _cells(spark, d).select(F.concat_ws(" ", "i", "j").alias("value")).write.text(path)
+    return readers.boolean(spark, path, 1 << 31, 100)
+
+
+@query("boolean_dense", f"WITH b AS ({_CELLS}), r AS (SELECT unnest(range((SELECT max(l_suppkey) + 3 FROM lineitem))) AS i) SELECT i, coalesce(string_agg(j, ',' ORDER BY j), '') AS ones, CAST(100 AS INTEGER) AS width FROM r LEFT JOIN b USING (i) GROUP BY i")
+def _(spark, d):
+    """Rows of 0 and 1, some without any one."""
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").agg(F.max("l_suppkey")).first()[0] + 3
+    out = readers.boolean_dense(_cells(spark, d), 100, rows)
+    ones = F.expr("array_join(transform(filter(transform(vals, (x, k) -> CASE WHEN x = 1 THEN k END), k -> k IS NOT NULL), k -> cast(k AS string)), ',')")
+    return out.select("i", ones.alias("ones"), F.size("vals").alias("width"))
+
+
+@query("edge_list_scan", f"WITH {_GRAPH} SELECT src, dst FROM g")
+def _(spark, d):
+    """Edges, some twice, as sorted lines behind a header, and back."""
+    path = scratch_dir(spark)
+    e = edges(spark, d)[0]
+    sinks.write_edges(e.union(e), path, header=False)
+    sinks.write_bytes(spark, f"{path}/00000.txt", b"%%MatrixMarket matrix coordinate\n10 10 10\n")
+    return readers.edge_list(spark, path)
+
+
+@query("edge_counts", f"WITH {_GRAPH} SELECT 'row' AS side, src AS node, count(*) AS degree FROM g GROUP BY src UNION ALL SELECT 'col', dst, count(*) FROM g GROUP BY dst")
+def _(spark, d):
+    return sinks.edge_counts(edges(spark, d)[0])
+
+
+@query("vector_scan", f"WITH {_SUPPLIER} SELECT i AS idx, s_acctbal AS x FROM s")
+def _(spark, d):
+    path = f"{scratch_dir(spark)}/v.dbl"
+    sinks.write_bytes(spark, path, sinks.vector_bytes(_supplier(spark, d).select(F.col("i").alias("idx"), F.col("s_acctbal").alias("x"))))
+    return readers.vector(spark, path)
+
+
+@query("vector_table", f"WITH {_SUPPLIER} SELECT i AS idx, s_acctbal AS x FROM s")
+def _(spark, d):
+    path = scratch_dir(spark)
+    sinks.write_vector(_supplier(spark, d).select(F.col("i").alias("idx"), F.col("s_acctbal").alias("x")), path)
+    return spark.read.parquet(path)
+
+
+@query("list_scan", f"WITH {_SUPPLIER} SELECT i AS pos, s_suppkey * 7 AS sym FROM s")
+def _(spark, d):
+    path = scratch_dir(spark)
+    sinks.write_list(_supplier(spark, d).select(F.col("i").alias("pos"), (F.col("s_suppkey") * 7).alias("sym")), path)
+    return readers.text_list(spark, path)
+
+
+@query("int_stream_scan", f"WITH {_SUPPLIER} SELECT i AS pos, s_suppkey * 7 AS sym FROM s")
+def _(spark, d):
+    path = f"{scratch_dir(spark)}/s.int"
+    v = _supplier(spark, d).select(F.col("i").alias("idx"), (F.col("s_suppkey") * 7).cast("int").alias("x"))
+    sinks.write_bytes(spark, path, sinks.vector_bytes(v, "i32"))
+    return readers.int_stream(spark, path, "i32")
+
+
+@query("tour_scan", "SELECT * FROM (VALUES (0, 3), (1, 0), (2, 2), (3, 1)) t(pos, col)")
+def _(spark, d):
+    path = f"{scratch_dir(spark)}/t.tour"
+    sinks.write_bytes(spark, path, ("NAME : t\nTOUR_SECTION\n" + sinks.tour_lines([3, 0, 2, 1])).encode())
+    return readers.tour(spark, path)
+
+
+@query("similarity_lines", f"WITH {_SIX} SELECT c1, string_agg(w, ' ' ORDER BY c2) AS value FROM csm GROUP BY c1")
+def _(spark, d):
+    return sinks.similarity_lines(reorder.csm(six(spark, d), 6), 6)
+
+
+@query("first_cells", main_sql("SELECT i, CAST(j AS INTEGER) AS j, v FROM e WHERE i * 4 + j < 1001"))
+def _(spark, d):
+    return readers.first_cells(main(spark, d), COLS, 1001)
+
+
+@query("lossy_dictionary", "SELECT DISTINCT l_extendedprice AS v FROM lineitem WHERE l_extendedprice <> trunc(l_extendedprice)")
+def _(spark, d):
+    """The values that a dictionary of integers would change."""
+    v = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_extendedprice").alias("v")).distinct()
+    return sinks.lossy_values(v)
+
+
 @query("grammar_stats", None)
 def _(spark, d):
     rules, cseq, _ = grammar_of(spark, d)
