@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 #: Largest table, in bytes as counted before planning, that is sent to every executor.
 BROADCAST_BYTES = 16 << 20
 
-#: Rows of a file of a table whose size is known to be small.
-ROWS_A_FILE = 50_000
+#: Rows of a file of a table whose size is known to be small, and what counts as small.
+ROWS_A_FILE, FEW_ROWS = 10_000, 1_000_000
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -28,12 +28,13 @@ def scratch_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str, rows: int | None = None, **options: str) -> DataFrame:
     """Write df and read it back: cuts lineage and survives lost executors. The folder goes when the application ends.
 
-    rows, if given, is a counted bound of its rows: small tables are then written as few files, large ones as df is dealt.
+    rows, if given, is a counted bound of its rows. A table of up to FEW_ROWS is dealt evenly into few files; others are written as df is
+    dealt. (Spark's coalesce would merge partitions unevenly where they have preferred places.)
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}"
-    if rows is not None:
-        df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, -(-rows // ROWS_A_FILE)))
+    if rows is not None and rows <= FEW_ROWS:
+        df = df.repartition(min(max(1, -(-rows // ROWS_A_FILE)), 2 * spark.sparkContext.defaultParallelism))
     df.write.options(**{"compression": "zstd"} | options).parquet(path)
     p = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
     p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
