@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftmat.plans.scratch import ROWS_A_FILE, materialize
+from weftmat.plans.scratch import materialize
 
-__all__ = ["ROWS_A_FILE", "materialize", "row_of", "sized", "table", "text_or_empty", "word_array"]
+__all__ = ["materialize", "row_of", "sized", "table", "text_or_empty", "word_array"]
 
 #: Largest table, in bytes as counted before planning, that is sent to every executor.
 BROADCAST_BYTES = 16 << 20

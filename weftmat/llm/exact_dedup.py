@@ -18,13 +18,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftmat.llm.common import ROWS_A_FILE, materialize, sized
+from weftmat.llm.common import materialize, sized
 
 #: Bytes compared in the first rounds; the last entry is multiplied by GROW from then on.
 WIDTHS = (96, 928, 7168)
 GROW = 16
-#: Bytes of text in a file of rows that go on, where fewer files than tasks do.
-FILE_BYTES = 16 << 20
 
 
 ADDED = ("__keep_id", "__group_size", "__kept")
@@ -55,10 +53,10 @@ def _decided(docs: DataFrame, id_col: str, text_col: str, payload: list[str] | N
         width = WIDTHS[level] if level < len(WIDTHS) else width * GROW
         dealt = rows.withColumn("__digit", F.substring(rest, past + 1, width))
         best = F.max(F.struct(F.col("__id"), F.col("__rid"))) if level else F.lit(None)
-        groups = dealt.groupBy(*on).agg(F.count(F.lit(1)).alias("__n"), F.sum(F.length(rest)).alias("__size"), best.alias("__best")).filter(F.col("__n") >= 2)
+        groups = dealt.groupBy(*on).agg(F.count(F.lit(1)).alias("__n"), best.alias("__best")).filter(F.col("__n") >= 2)
         groups = groups.withColumn("__next", F.monotonically_increasing_id())
         groups = materialize(groups if level else groups.drop("__best"), f"groups{level}", rows=total)
-        n, nbytes, total, volume = groups.agg(F.count(F.lit(1)), F.sum(F.length("__digit") + 64), F.sum("__n"), F.sum("__size")).first()
+        n, nbytes, total = groups.agg(F.count(F.lit(1)), F.sum(F.length("__digit") + 64), F.sum("__n")).first()
         if not n:
             results.append(alone(rows))
             break
@@ -73,8 +71,7 @@ def _decided(docs: DataFrame, id_col: str, text_col: str, payload: list[str] | N
         # After the first round even ended groups go on: their rows need a row number that stays.
         rid = (F.col("__rid") if level else F.monotonically_increasing_id()).alias("__rid")
         cut = [] if within else [F.expr(f"substring(__rest, {width + 1})").alias("__rest")]
-        bound = max(total, volume * ROWS_A_FILE // FILE_BYTES)
-        rows = materialize(joined.select("__row", "__id", rid, F.col("__next").alias("__gid"), *cut), f"rows{level}", rows=bound)
+        rows = materialize(joined.select("__row", "__id", rid, F.col("__next").alias("__gid"), *cut), f"rows{level}")
         past += width if within else 0
         level += 1
         if level > 1 and rows.isEmpty():
