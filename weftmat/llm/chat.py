@@ -91,7 +91,8 @@ def format_turns(conversations: DataFrame, trained_role: str = "assistant") -> D
 
     The rows of a conversation, in the order of turn, role and text (nulls first), give its formatted text one after the other.
     [loss_start, loss_end) is the body in code points of the row's own text if the role is trained on, else
-    (0, 0). Null role and text are empty. Rows with a null conv_id form one conversation.
+    (0, 0). Null role and text are empty. Rows with a null conv_id form one conversation; rows that repeat all four columns are turns of
+    their own; an empty table gives an empty result; columns other than the four are left out.
     """
     rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
 

@@ -284,7 +284,8 @@ def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset: one row per piece.
 
-    An empty table gives an empty result. Rows that repeat a doc_id are packed like any others.
+    An empty table gives an empty result; null text is one piece of one id. Rows that repeat a doc_id are packed like any others, null ids
+    stay null, and columns other than the two named are left out.
     """
     cut = pieces(docs, id_col, text_col, path, capacity, with_ids)
     cut = materialize(cut.withColumn("__part", F.spark_partition_id()), "pieces")

@@ -120,7 +120,7 @@ def add_scores(docs: DataFrame, model: Model, text_col: str = "text", out_col: s
 
 
 def score_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted."""
+    """doc_id, held_out, score, predicted; one row per row of docs, whose other columns are left out. Without labels all scores are alike."""
     out = add_scores(docs.select("doc_id", "text"), learn(docs, labels))
     held = F.coalesce(fold() == HELD_OUT_FOLD, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

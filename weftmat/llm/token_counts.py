@@ -138,7 +138,7 @@ def add_token_counts(docs: DataFrame, text_col: str = "text", out_col: str = "n_
 
 
 def token_report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit."""
+    """doc_id, n_bytes, n_tokens, over_limit; one row per row of docs, null text being empty; other columns are left out."""
     out = add_token_counts(docs.select("doc_id", "text"))
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint")
     return out.select("doc_id", size.alias("n_bytes"), "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"))
