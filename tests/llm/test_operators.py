@@ -422,6 +422,37 @@ def test_near_dedup_chains_and_large_buckets(spark, monkeypatch, small):
     check_near(spark, items)
 
 
+@pytest.mark.parametrize("small", [24, 2])
+def test_near_dedup_common_passages(spark, monkeypatch, small):
+    """Texts with a passage in common, below and near the threshold, that no star joins; some are also near copies of each other."""
+    monkeypatch.setattr(near_dedup, "SMALL", small)
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    rng = np.random.default_rng(5)
+    passage = [f"p{i}" for i in range(90)]
+    items = []
+    for i in range(90):
+        own = [f"o{i}_{k}" for k in range(int(rng.integers(8, 60)))]
+        items.append((i, " ".join(passage + own)))
+        if i % 9 == 0:
+            items.append((1000 + i, " ".join(passage + own[:-1] + ["other"])))
+    items.append((2000, " ".join(passage)))
+    check_near(spark, items)
+
+
+def test_near_dedup_prefixes_meet():
+    """Two sets that reach the threshold share a shingle of their prefixes, whatever the counts."""
+    rng = np.random.default_rng(3)
+    counts = rng.integers(0, 3, 1 << near_dedup.SLOT_BITS).astype(np.uint32)
+    for _ in range(400):
+        n, gone, more = int(rng.integers(1, 60)), int(rng.integers(0, 12)), int(rng.integers(0, 12))
+        both = rng.integers(0, 1 << 64, n, dtype=np.uint64)
+        x, y = (np.unique(np.concatenate([both, rng.integers(0, 1 << 64, k, dtype=np.uint64)])) for k in (gone, more))
+        common = len(np.intersect1d(x, y))
+        if 100 * common >= near_dedup.PERCENT * (len(x) + len(y) - common):
+            assert len(np.intersect1d(near_dedup.prefix(x, counts), near_dedup.prefix(y, counts)))
+    assert len(near_dedup.prefix(np.zeros(0, np.uint64), counts)) == 0
+
+
 def test_near_dedup_stage_keeps_columns(spark, docs):
     out = near_dedup.keep_one_of_each(docs)
     assert out.columns == docs.columns
