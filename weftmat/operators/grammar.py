@@ -8,9 +8,11 @@ only; level is one more than that of the deeper child, terminals being 0. Each b
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -233,6 +235,38 @@ def expand_texts(rules: DataFrame, cseq: DataFrame) -> DataFrame:
     return expand(rules, cseq).select("block", "seq").mapInPandas(run, "block bigint, text string")
 
 
+def text_grammars(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, alphabet, left, right, symbols), a row for each row of df: the grammar of its text, as repair_text gives it, in arrays.
+
+    Every text is a block of its own, so rows that repeat a key stay apart and no symbol becomes a row. A written table.
+    """
+    ints = pa.list_(pa.int32())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):  # one text at a time: a batch of long ones does not pile up
+                alphabet, rules, symbols = repair_text(b.column(1)[k].as_py() or "")
+                sides = [pa.array([[r[s] for r in rules]], ints) for s in (0, 1)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(k, 1), pa.array([alphabet]), *sides, pa.array([symbols], ints)], [key, "alphabet", "left", "right", "symbols"])
+
+    rows = df.select(key, text).repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
+    kind = df.schema[key].dataType.simpleString()
+    return materialize(rows.mapInArrow(run, f"`{key}` {kind}, alphabet string, left array<int>, right array<int>, symbols array<int>"), "text_grammars")
+
+
+def expand_text_grammars(grammars: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, text) of text_grammars(), a row for each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            a, x, y, z = (b.column(k).to_pylist() for k in range(1, 5))
+            texts = [expand_text(p, list(zip(q, r, strict=True)), t) for p, q, r, t in zip(a, x, y, z, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], [key, text])
+
+    kind = grammars.schema[key].dataType.simpleString()
+    return grammars.select(key, "alphabet", "left", "right", "symbols").mapInArrow(run, f"`{key}` {kind}, `{text}` string")
+
+
 def expanded_lengths(rules: DataFrame, cseq: DataFrame) -> DataFrame:
     """(block, length): the number of terminals that a block's sequences stand for."""
     ones = rules.select("block", F.explode(F.array("left", "right")).alias("sym")).union(cseq.select("block", "sym")).select("sym").distinct().withColumn("w", F.lit(1).cast("bigint"))

@@ -503,8 +503,7 @@ def _(spark, d):
 def _(spark, d):
     """Each document's text as a grammar over its code points, expanded again."""
     docs = spark.read.parquet(f"{d}/documents.parquet").filter("length(text) > 0")
-    rules, cseq = grammar.compress(grammar.code_point_seqs(docs, "doc_id", "text"))
-    return grammar.expand_texts(rules, cseq).select(F.col("block").alias("doc_id"), "text")
+    return grammar.expand_text_grammars(grammar.text_grammars(docs, "doc_id", "text"), "doc_id", "text")
 
 
 @query("locate_values", main_sql("SELECT code, i, CAST(pos AS INTEGER) AS pos FROM c WHERE code IN (1, 2, 6, 9)"))
